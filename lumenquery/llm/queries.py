@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenquery.llm import matroska, sentencepieces
 from lumenquery.llm.mixing import mix
 from lumenquery.llm.simhash import simhash_classes
 from lumenquery.session import table
 
 
+def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.media_features(matroska.with_media(table(spark, sf_dir, "documents")))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"))
 
@@ -19,9 +24,33 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(table(spark, sf_dir, "documents")).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_matroska": op2_matroska,
     "op5_simhash": op5_simhash,
     "op7_mixing": op7_mixing,
+    "op9_sentencepiece": op9_sentencepiece,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_mixing": r"""
+        WITH docs AS (
+          SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS sk, md5(CAST(doc_id AS VARCHAR)) AS place,
+                 CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+        per AS (SELECT sk, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY sk),
+        weighed AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][((row_number() OVER (ORDER BY sk) - 1) % 3) + 1] AS w, source_size * 3 AS cap FROM per),
+        run AS (SELECT *, row_number() OVER o AS nth, (SELECT sum(source_size) FROM per) - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+                       sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+                FROM weighed WINDOW o AS (ORDER BY cap / w, sk)),
+        lev AS (SELECT arg_min(CAST(rest AS DOUBLE) / open, nth) AS level FROM run WHERE CAST(rest AS DOUBLE) / open <= cap / w),
+        tgt AS (SELECT sk, source_size, least(CAST(cap AS DOUBLE), coalesce(level * w, CAST(cap AS DOUBLE))) AS target FROM run, lev),
+        placed AS (SELECT doc_id, size, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS budget,
+                          coalesce(sum(size) OVER (PARTITION BY sk ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+                   FROM docs JOIN tgt USING (sk))
+        SELECT doc_id, size, source_size, target,
+               CAST(CASE WHEN source_size > 0 THEN (budget // source_size) * size + greatest(0, least(size, budget % source_size - before)) ELSE 0 END AS BIGINT) AS taken
+        FROM placed""",
+}
