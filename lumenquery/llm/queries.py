@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenquery.llm import matroska, sentencepieces
+from lumenquery.llm import matroska, pii, sentencepieces
 from lumenquery.llm.mixing import mix
 from lumenquery.llm.simhash import simhash_classes
 from lumenquery.session import table
@@ -24,6 +24,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents")).drop("ids")
 
@@ -32,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_matroska": op2_matroska,
     "op5_simhash": op5_simhash,
     "op7_mixing": op7_mixing,
+    "op8_pii": op8_pii,
     "op9_sentencepiece": op9_sentencepiece,
 }
 
