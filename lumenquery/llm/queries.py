@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenquery.llm import matroska, pii, sentencepieces, toxicity
+from lumenquery.llm import matroska, pii, quality, sentencepieces, toxicity
 from lumenquery.llm.mixing import mix
 from lumenquery.llm.simhash import simhash_classes
 from lumenquery.session import table
@@ -24,6 +24,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_matroska": op2_matroska,
     "op5_simhash": op5_simhash,
+    "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op8_pii": op8_pii,
     "op9_sentencepiece": op9_sentencepiece,
