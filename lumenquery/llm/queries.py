@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumenquery.llm import matroska, pii, quality, sentencepieces, toxicity
+from lumenquery.llm import matroska, permutations, pii, quality, sentencepieces, toxicity
 from lumenquery.llm.mixing import mix
 from lumenquery.llm.simhash import simhash_classes
 from lumenquery.session import table
@@ -40,6 +40,11 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op10_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return permutations.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_matroska": op2_matroska,
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_pii": op8_pii,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_permutations": op10_permutations,
 }
 
 ORACLES: dict[str, str] = {
