@@ -14,6 +14,7 @@ import os
 import re
 import struct
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-_KEPT_CHARS, _KEPT_CHUNKS = 64, 300_000
+_KEPT_CHARS, _KEPT_CHUNKS = 64, 600_000
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -123,7 +124,9 @@ class Codec:
         self.as_bytes = [
             bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k in (CONTROL, UNUSED) else p.replace(SPACE, " ").encode("utf-8") for p, _, k in self.model.pieces
         ]
-        self.kept: dict[str, tuple[bytes, bool | None, bool]] = {}
+        self.byte_sizes = np.array([len(x) for x in self.as_bytes], dtype=np.int64)
+        self.kept: dict[str, bytes] = {}
+        self.odd: dict[str, tuple[bool | None, bool]] = {}
 
     def normalise(self, text: str) -> str:
         """The text with the model's character map, white-space rules and metaspaces; empty stays empty."""
@@ -139,41 +142,62 @@ class Codec:
         out = b"".join(map(self.as_bytes.__getitem__, ids)).decode("utf-8", "replace")
         return out[1:] if self.model.dummy_prefix and out.startswith(" ") else out
 
-    def learn(self, chunks: list[str]) -> dict[str, tuple[bytes, bool | None, bool]]:
-        """chunk -> (ids as little-endian int32, equal to the other library's ids, decodes to itself).
+    def learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """chunk -> ids as little-endian int32; chunks that fail a comparison are noted in `odd`.
 
         The other library puts a dummy prefix before what it is given, so a chunk can be compared
-        alone only if it is one metaspace and a word; None marks chunks that must be compared in
-        their whole text.
+        alone only if it is one metaspace and a word; others are compared in their whole text.
         """
+        if not chunks:
+            return {}
         alone = [self.model.dummy_prefix and len(c) > 1 and c[0] == SPACE and c[1] != SPACE for c in chunks]
-        theirs = iter(self.other.encode([c[1:] for c, ok in zip(chunks, alone, strict=True) if ok]))
-        found = {}
-        for chunk, ok, enc in zip(chunks, alone, self.tokenizer.encode_batch(chunks, add_special_tokens=False), strict=True):
-            ids = enc.ids
-            back = b"".join(map(self.as_bytes.__getitem__, ids)) == chunk.replace(SPACE, " ").encode("utf-8")
-            found[chunk] = (np.array(ids, dtype="<i4").tobytes(), ids == next(theirs) if ok else None, back)
-        return found
+        theirs = self.other.encode([c[1:] for c, ok in zip(chunks, alone, strict=True) if ok])
+        ours = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(ours), dtype="<i4")
+        ends = np.cumsum([len(x) for x in ours], dtype=np.int64)
+        raw, starts = flat.tobytes(), np.concatenate(([0], ends[:-1])).astype(np.int64)
+        plain = [c.replace(SPACE, " ").encode("utf-8") for c in chunks]
+        # all chunks decode to themselves if their bytes do in a row, each over its own length
+        sizes = np.concatenate(([0], np.cumsum(self.byte_sizes[flat])))
+        lengths = sizes[ends] - sizes[starts]
+        whole = lengths.tolist() == [len(x) for x in plain] and b"".join(map(self.as_bytes.__getitem__, flat.tolist())) == b"".join(plain)
+        if not (whole and all(alone) and ours == theirs):
+            rest = iter(theirs)
+            for chunk, ok, ids, wanted in zip(chunks, alone, ours, plain, strict=True):
+                same = ids == next(rest) if ok else None
+                back = b"".join(map(self.as_bytes.__getitem__, ids)) == wanted
+                if not (same and back):
+                    self.odd[chunk] = (same, back)
+        return {c: raw[4 * x : 4 * y] for c, x, y in zip(chunks, starts.tolist(), ends.tolist(), strict=True)}
+
+    def chunks(self, text: str) -> list[str]:
+        """The chunks of a text: metaspaces with what follows them."""
+        plain = self.normalise(text)
+        if SPACE * 2 in plain or not plain.startswith(SPACE):
+            return _CHUNK.findall(plain)
+        return [SPACE + w for w in plain[1:].split(SPACE)]
 
     def encode_batch(self, lines: list[str]) -> list[tuple[bytes, bool, bool]]:
         """For each text: ids as little-endian int32, parity, exact round trip to the normalised text."""
-        cut = [_CHUNK.findall(self.normalise(t)) for t in lines]
-        new = list(dict.fromkeys(c for chunks in cut for c in chunks if c not in self.kept))
+        cut = [self.chunks(t) for t in lines]
         look = self.kept
+        new = list(set().union(*cut).difference(look))
         look.update(self.learn(new))
+        odd = self.odd
         out = []
         for text, chunks in zip(lines, cut, strict=True):
-            parts = [look[c] for c in chunks]
-            ids = b"".join([p[0] for p in parts])
-            same = [p[1] for p in parts]
+            ids = b"".join([look[c] for c in chunks])
+            notes = [odd[c] for c in chunks if c in odd] if odd else []
+            same = [n[0] for n in notes]
             parity = self.other.encode(text) == np.frombuffer(ids, "<i4").tolist() if None in same else all(same)
-            out.append((ids, parity, all([p[2] for p in parts])))
+            out.append((ids, parity, all([n[1] for n in notes])))
         if len(look) > _KEPT_CHUNKS:
-            self.kept = {}
+            self.kept, self.odd = {}, {}
         else:
             for chunk in new:
                 if len(chunk) > _KEPT_CHARS:
                     del look[chunk]
+                    odd.pop(chunk, None)
         return out
 
 
