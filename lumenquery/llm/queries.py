@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumenquery.llm import matroska, permutations, pii, quality, sentencepieces, toxicity
+from lumenquery.llm import matroska, permutations, pii, quality, secrets, sentencepieces, toxicity
 from lumenquery.llm.mixing import mix
 from lumenquery.llm.simhash import simhash_classes
 from lumenquery.session import table
@@ -20,6 +20,11 @@ def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_features(matroska.with_media(table(spark, sf_dir, "documents")))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(docs))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ def op10_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_matroska": op2_matroska,
+    "op3_secrets": op3_secrets,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
