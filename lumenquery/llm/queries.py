@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumenquery.llm import matroska, permutations, pii, quality, secrets, sentencepieces, toxicity
+from lumenquery.llm import matroska, permutations, pii, quality, secrets, sentencepieces, toxicity, wrappers
 from lumenquery.llm.mixing import mix
 from lumenquery.llm.simhash import simhash_classes
 from lumenquery.session import table
@@ -25,6 +25,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.train(docs))
 
 
+def op4_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_matroska": op2_matroska,
     "op3_secrets": op3_secrets,
+    "op4_wrappers": op4_wrappers,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
