@@ -48,18 +48,20 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), max_epochs: int = 3) ->
     return per.select("source_key", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), max_epochs: int = 3) -> DataFrame:
-    """One row per document: id, size, source_size, target, taken.
+def _source_key(source):
+    """Sources in code point order, null last."""
+    return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
-    taken counts the words the mix takes from the document over all epochs: whole epochs first, then
-    the shuffled order up to the exact budget, the document at the cut giving only the words that
-    still fit. Null ids, sources and texts are ordinary values (a null source sorts last, a null
-    text has size 0); repeated rows each count; an empty table gives no rows. Documents of size 0
-    take 0. Extra columns are ignored, whatever their names.
-    """
+
+def _place(ident):
+    """Where a document stands in its source's shuffled order."""
+    return F.coalesce(F.md5(ident.cast("string")), F.lit(""))
+
+
+def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, max_epochs: int) -> DataFrame:
+    """(id, source_key, place, size, source_size, target, epochs, rest) of every document."""
     ident = F.col(id_col)
-    key = F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col)))
-    slim = cut(docs.select(ident.alias("id"), key.alias("source_key"), word_count(F.col(text_col)).alias("size"), F.coalesce(F.md5(ident.cast("string")), F.lit("")).alias("place")))
+    slim = cut(docs.select(ident.alias("id"), _source_key(F.col(source_col)).alias("source_key"), word_count(F.col(text_col)).alias("size"), _place(ident).alias("place")))
     rows = slim.count()
     bits = min(30, max(1, math.ceil(math.log2(math.sqrt(rows + 1)))))
     head = F.coalesce(F.conv(F.substring("place", 1, 8), 16, 10).cast("long"), F.lit(0))
@@ -74,5 +76,39 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     budget = F.floor(F.col("target") + 0.5)
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(F.lit(0))
     rest = F.greatest(F.lit(0), F.least(F.col("size"), budget - epochs * F.col("source_size") - F.col("before")))
-    taken = epochs * F.col("size") + rest
-    return run.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return run.select("id", "source_key", "place", "size", "source_size", "target", epochs.cast("long").alias("epochs"), rest.cast("long").alias("rest"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), max_epochs: int = 3) -> DataFrame:
+    """One row per document: id, size, source_size, target, taken.
+
+    taken counts the words the mix takes from the document over all epochs: whole epochs first, then
+    the shuffled order up to the exact budget, the document at the cut giving only the words that
+    still fit. Null ids, sources and texts are ordinary values (a null source sorts last, a null
+    text has size 0); repeated rows each count; an empty table gives no rows. Documents of size 0
+    take 0. Extra columns are ignored, whatever their names.
+    """
+    run = _taken(docs, id_col, text_col, source_col, weights, max_epochs)
+    return run.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("rest")).alias("taken"))
+
+
+#: Sources up to this many are sent to every task; more are joined by key.
+BROADCAST_SOURCES = 50_000
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), max_epochs: int = 3) -> DataFrame:
+    """The rows of docs that the mix takes, once for each epoch that takes from them.
+
+    A source's decision is its number of whole epochs and the last place of the shuffled order that
+    the next one reaches, so documents need no join but with one row per source. The document at the
+    cut is given whole. Documents without words are not taken. Columns stay as they are.
+    """
+    run = _taken(docs, id_col, text_col, source_col, weights, max_epochs)
+    cuts = cut(run.groupBy(F.col("source_key").alias("__source")).agg(F.max("epochs").alias("__epochs"), F.coalesce(F.max(F.when(F.col("rest") > 0, F.col("place"))), F.lit("")).alias("__cut")))
+    if cuts.count() <= BROADCAST_SOURCES:
+        cuts = F.broadcast(cuts)
+    keyed = docs.withColumn("__key", _source_key(F.col(source_col)))
+    both = keyed.join(cuts, keyed["__key"] == cuts["__source"])
+    again = (F.col("__cut") != "") & (_place(F.col(id_col)) <= F.col("__cut"))
+    times = F.when(word_count(F.col(text_col)) > 0, F.col("__epochs") + again.cast("long")).otherwise(F.lit(0))
+    return both.withColumn("__n", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*[F.col(c) for c in docs.columns])

@@ -36,6 +36,9 @@ _LOOSE_NUMBER = r"(?<![A-Za-z0-9])[+(]?[0-9][0-9\x20()./:_-]*[0-9](?![A-Za-z0-9]
 _LOOSE_RUN = r"(?<![A-Za-z0-9])[0-9]{9,}+(?![A-Za-z0-9])"
 GENERATORS = {"address": _LOOSE_EMAIL, "number": _LOOSE_NUMBER, "run": _LOOSE_RUN}
 
+#: What every text with a match or candidate has: an at sign, spelled or not, or a digit.
+WORTH = r"[0-9]|@|at[)\]}]"
+
 _BLOCK = 256
 
 
@@ -258,7 +261,7 @@ class Model:
 def train(docs: DataFrame, text_col: str = "text", precision: float = 0.9) -> Model:
     """Fit on the candidates of every document; only their (features, label) counts reach the driver."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = docs.select(text.alias("text")).where(F.col("text").rlike(r"[0-9]{2}|@|at[)\]}]"))
+    slim = docs.select(text.alias("text")).where(F.col("text").rlike(WORTH))
     found = slim.select("text", base_spans(F.col("text")).alias("base")).select(F.explode(candidates(F.col("text"), F.col("base"))).alias("c"))
     label = (F.col("c.kind") >= 0).cast("int")
     counts = found.groupBy(*[F.col("c.f")[n].alias(n) for n in FEATURES]).agg(F.sum(label).alias("n1"), F.sum(1 - label).alias("n0")).orderBy(*FEATURES)
@@ -276,7 +279,7 @@ def find(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     addresses and 5 for numbers; base spans always stay. A null text is empty and has no spans.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    worth = text.rlike(r"[0-9]{2}|@|at[)\]}]|\+[0-9]")
+    worth = text.rlike(WORTH)
     none = F.array().cast("array<struct<start:long,ord:int,end:long>>")
     marked = docs.withColumn("base_spans", F.when(worth, base_spans(text)).otherwise(none))
     if math.isinf(model.threshold):
@@ -324,3 +327,15 @@ def redact(text: Column, spans: Column) -> Column:
 
     done = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
     return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
+def redacted(docs: DataFrame, text_col: str = "text", n_chars_col: str = "n_chars") -> DataFrame:
+    """docs with every found span replaced by its tag; a column of text lengths follows the new text.
+
+    Other columns stay as they are, and null texts stay null.
+    """
+    model = train(docs, text_col)
+    found = find(docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text_col).alias("__text")), model, "__text")
+    new = F.when(F.col("__text").isNotNull(), redact(F.col("__text"), F.col("all_spans")))
+    length = F.when(F.size("all_spans") > 0, F.length(new).cast(docs.schema[n_chars_col].dataType)).otherwise(F.col("row")[n_chars_col]) if n_chars_col in docs.columns else None
+    return found.select(*[(new if c == text_col else length if c == n_chars_col else F.col("row")[c]).alias(c) for c in docs.columns])

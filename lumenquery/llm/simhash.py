@@ -7,10 +7,12 @@ similarity of 0.8 or more: wide fingerprints and Golay codewords propose pairs,
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenquery.llm import golay
 from lumenquery.llm.frames import map_batches
@@ -119,3 +121,136 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classes.join(roots, classes.rep == roots.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     out = marks.join(named, "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---- near duplicates by shingle sets
+
+SEGMENTS = 11  # 23-bit segments of a wide fingerprint
+WORDS = 4  # 64-bit words of a wide fingerprint
+FAR = 80  # bits of 256 beyond which sets can't be nearly equal; texts with no words in common differ in 128
+CROWD = 64  # members of a key up to which all pairs of its components are compared
+
+
+def _spread(h: np.ndarray, n: int) -> np.ndarray:
+    """The n-th further hash of hashes, by one multiply-and-shift round."""
+    if not n:
+        return h
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15 + 2 * n)
+    return h ^ (h >> np.uint64(32))
+
+
+def wide_fingerprint(text: str | None) -> np.ndarray:
+    """256 bits: majorities over the distinct lower-case words, zero if there are none."""
+    h = np.unique(shingle_hashes(text, 1))
+    return np.array([majority(_spread(h, n)) for n in range(WORDS)], dtype=np.uint64)
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct shingle hashes."""
+    return np.unique(shingle_hashes(text, width)).view(np.int64)
+
+
+def _signatures(batches):
+    """Wide fingerprints, and the nearest codewords of their segments, five to a long."""
+    for b in batches:
+        fp = np.array([wide_fingerprint(t) for t in b.column(3).to_pylist()], dtype=np.uint64).reshape(-1, WORDS)
+        bits = np.unpackbits(fp.astype("<u8").view(np.uint8), axis=1, bitorder="little")[:, : 23 * SEGMENTS]
+        codes = golay.nearest(bits.reshape(-1, 23).astype(np.int64) @ (1 << np.arange(23))).reshape(-1, SEGMENTS).astype(np.int64)
+        packs = []
+        for at in range(0, SEGMENTS, 5):
+            part = codes[:, at : at + 5]
+            packs.append((part << (12 * np.arange(part.shape[1]))).sum(axis=1))
+        yield pa.record_batch([b.column(0), b.column(1), b.column(2), *[pa.array(fp[:, i].view(np.int64)) for i in range(WORDS)], *map(pa.array, packs)], names=["id", "h1", "h2", "f0", "f1", "f2", "f3", "g0", "g1", "g2"])
+
+
+def _sets(width: int):
+    def run(batches):
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([shingle_set(t, width) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["node", "grams"])
+
+    return run
+
+
+def text_keys(text: Column) -> tuple[Column, Column]:
+    """Two hashes of a text; all texts without words have the same."""
+    bare = ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return F.when(bare, F.lit(0).cast("long")).otherwise(F.xxhash64(text)), F.when(bare, F.lit(0).cast("long")).otherwise(F.xxhash64(F.lit(1), text))
+
+
+def _key_rows(classes: DataFrame) -> DataFrame:
+    """(key, node): one key for each pair of segments, both codewords in it."""
+    code = [F.shiftright(F.col(f"g{i // 5}"), 12 * (i % 5)).bitwiseAND(F.lit(0xFFF)) for i in range(SEGMENTS)]
+    pairs = [F.lit(n << 24).cast("long") + F.shiftleft(code[i], 12) + code[j] for n, (i, j) in enumerate(combinations(range(SEGMENTS), 2))]
+    return classes.select(F.explode(F.array(*pairs)).alias("key"), "node")
+
+
+def _near(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose wide fingerprints are not too far apart."""
+    side = lambda x: marks.select(F.col("node").alias(x), *[F.col(f"f{i}").alias(f"{x}{i}") for i in range(WORDS)])
+    far = sum(F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(WORDS))
+    return pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(far <= FAR).select("a", "b")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(src, dst) of the pairs whose shingle sets have the similarity."""
+    pairs = cut(pairs)
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = cut(map_batches(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), _sets(width), "node long, grams array<long>"))
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b").join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
+    same = F.size(F.array_intersect("ga", "gb"))
+    return both.where(same >= similarity * (F.size("ga") + F.size("gb") - same)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per distinct (id, text): id, h1, h2 (see text_keys), c1, c2 (its component), copies (rows).
+
+    Components join texts whose sets of `width`-word shingles have the Jaccard similarity; equal
+    texts, and all texts without words, are one class before anything is joined. Candidate pairs
+    share the Golay codewords of two segments of their wide fingerprints. A key's members are first
+    compared with its least member only; members that this leaves in different components are then
+    compared with each other, or, where a key has more than CROWD members, with two members of other
+    components.
+    """
+    h1, h2 = text_keys(F.col(text_col))
+    kind = docs.schema[id_col].dataType.simpleString()
+    slim = docs.select(F.col(id_col).alias("id"), h1.alias("h1"), h2.alias("h2"), F.col(text_col).alias("text"))
+    marks = cut(map_batches(slim, _signatures, f"id {kind}, h1 long, h2 long, f0 long, f1 long, f2 long, f3 long, g0 long, g1 long, g2 long"))
+    cols = ["f0", "f1", "f2", "f3", "g0", "g1", "g2"]
+    classes = cut(marks.where("h1 <> 0 OR h2 <> 0").groupBy(F.col("h1").alias("node"), "h2").agg(*[F.min(c).alias(c) for c in cols]))
+    texts = slim.select(F.col("h1").alias("node"), "text")
+    keyed = _key_rows(classes)
+    shared = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("z")).where("n > 1 AND a <> z"))
+    members = cut(keyed.join(shared.where("n > 2"), "key").select("key", "node", "n", "a"))
+    stars = shared.where("n = 2").select("a", F.col("z").alias("b")).unionByName(members.where("node <> a").select("a", F.col("node").alias("b")))
+    first = cut(_verified(_near(stars, classes), texts, width, similarity))
+    roots = cut(connected_components(first))
+    placed = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
+    split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("node", "c").alias("low_node"), F.max_by("node", "c").alias("high_node")).where("low <> high")
+    mixed = cut(placed.join(split, "key"))
+    few = mixed.where(F.col("n") <= CROWD)
+    cross = few.select("key", F.col("node").alias("a"), F.col("c").alias("ca")).join(few.select("key", F.col("node").alias("b"), F.col("c").alias("cb")), "key").where("a < b AND ca <> cb").select("a", "b")
+    many = mixed.where(F.col("n") > CROWD)
+    hubs = many.where("c <> low").select(F.col("low_node").alias("x"), "node").unionByName(many.where("c <> high").select(F.col("high_node").alias("x"), "node"))
+    hubs = hubs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+    second = _verified(_near(cross.unionByName(hubs), classes), texts, width, similarity)
+    final = connected_components(first.unionByName(second))
+    rows = marks.groupBy("id", "h1", "h2").agg(F.count(F.lit(1)).alias("copies"))
+    joined = rows.join(final, rows.h1 == final.node, "left")
+    return joined.select("id", "h1", "h2", F.coalesce("component", "h1").alias("c1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("c2"), "copies")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one document of each group of near duplicates: the one of the least id.
+
+    Columns stay as they are. A null id is less than all others. Rows equal in id and text are one
+    document and one of them stays.
+    """
+    groups = cut(near_duplicates(docs, id_col, text_col, width, similarity))
+    place = F.struct(F.col("id").isNotNull().alias("known"), F.col("id"), F.col("h1"), F.col("h2"))
+    kept = groups.groupBy("c1", "c2").agg(F.min(place).alias("p")).select(F.col("p.id").alias("__id"), F.col("p.h1").alias("__h1"), F.col("p.h2").alias("__h2"))
+    h1, h2 = text_keys(F.col(text_col))
+    keyed = docs.withColumns({"__k1": h1, "__k2": h2})
+    out = keyed.join(kept, (keyed["__k1"] == kept["__h1"]) & (keyed["__k2"] == kept["__h2"]) & keyed[id_col].eqNullSafe(kept["__id"]), "left_semi")
+    if groups.where("copies > 1").limit(1).count():
+        out = out.dropDuplicates([id_col, "__k1", "__k2"])
+    return out.drop("__k1", "__k2")

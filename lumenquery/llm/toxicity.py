@@ -276,24 +276,38 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     return Model(cost, bias, {f: x for f, x in weights.items() if x > 1e-3})
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and score (0 to 1). Null and empty texts have the score of no evidence."""
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast((model.cost, model.bias, model.weights))
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    slim = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
+def _scores(model: tuple, lines: list[str], tool: Restorer) -> list[float]:
+    _, bias, weights = model
+    out = []
+    for t in lines:
+        z = bias + sum(weights[f] for f in sorted(f for f in tool.features(t) if f in weights))
+        out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+    return out
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and score (0 to 1). Null and empty texts have the score of no evidence."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.cost, model.bias, model.weights))
+
+    def run(batches):
+        tool = Restorer(shared.value[0])
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array(_scores(shared.value, texts(b.column(1)), tool), pa.float64())], names=["id", "score"])
+
+    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {docs.schema[id_col].dataType.simpleString()}, score double")
+
+
+def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns as they are, whose score is under the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.cost, model.bias, model.weights))
+    at = docs.columns.index(text_col)
 
     def run(batches):
-        cost, bias, weights = shared.value
-        tool = Restorer(cost)
+        tool = Restorer(shared.value[0])
         for b in batches:
-            out = []
-            for t in texts(b.column(len(keep))):
-                z = bias + sum(weights[f] for f in sorted(f for f in tool.features(t) if f in weights))
-                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            yield pa.record_batch([b.column(i) for i in range(len(keep))] + [pa.array(out, pa.float64())], names=[*keep, "score"])
+            yield b.filter(pa.array([x < threshold for x in _scores(shared.value, texts(b.column(at)), tool)], pa.bool_()))
 
-    return map_batches(slim, run, f"{kinds}, score double")
+    return map_batches(docs, run, docs.schema)
 
 
 def held_out(id_col: str, modulus: int, remainder: int):
@@ -308,5 +322,5 @@ def scored(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     columns are ignored; without labels every score is that of no evidence.
     """
     model = train(docs, labels.where(~held_out(id_col, 4, 2)), label_col, id_col, text_col)
-    out = score(docs, model, text_col, (id_col,))
-    return out.select(id_col, held_out(id_col, 4, 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = score(docs, model, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), held_out("id", 4, 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
