@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""SQL dialect and registered queries."""

@@ -37,3 +37,6 @@ def group_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"), F.avg("o_totalprice").alias("mean"))
         .orderBy("o_orderpriority")
     )
+
+
+from lumenquery.plans import q_relational, q_spatial  # noqa: E402, F401  (modules register their queries)

@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Readers, type inference and writers."""
