@@ -25,7 +25,7 @@ def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine within [0, 2]; 1 if either vector is zero."""
     size = norm(a) * norm(b)
     value = F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1 - dot(a, b) / F.when(size > 0, size)))
-    return F.coalesce(value, F.lit(1.0))
+    return F.when(size > 0, value).otherwise(1.0)
 
 
 def negative_dot(a: Column, b: Column) -> Column:

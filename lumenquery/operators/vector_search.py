@@ -98,11 +98,11 @@ def recall(found: DataFrame, exact: DataFrame, key: str = "vec_id") -> DataFrame
     return sizes.join(hits, "query_id", "left").agg(F.avg(F.coalesce("hits", F.lit(0)) / F.col("size")).alias("recall"))
 
 
-def probe_sweep(index: Ivf, queries: dict[int, list], exact: DataFrame, k: int, probes: list[int], target: float) -> tuple[int | None, list[tuple[int, float]]]:
+def probe_sweep(index: Ivf, queries: dict[int, list], exact: DataFrame, k: int, probes: list[int], target: float, metric: str = "cosine") -> tuple[int | None, list[tuple[int, float]]]:
     """The recall of each number of probes, and the least that reaches a target."""
     seen = []
     for n in probes:
-        parts = [index.search(v, k, n).select(F.lit(q).cast("long").alias("query_id"), index.key) for q, v in queries.items()]
+        parts = [index.search(v, k, n, metric).select(F.lit(q).cast("long").alias("query_id"), index.key) for q, v in queries.items()]
         found = parts[0]
         for p in parts[1:]:
             found = found.unionByName(p)

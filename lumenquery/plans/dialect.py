@@ -344,6 +344,7 @@ class _Parser:
         labels: list[str] = []
         aggregates: list[tuple[str, str | None]] = []
         shown = [c for c in df.columns if not c.startswith("__")]
+        star = plain = False
 
         def add(label: str, c: Column) -> None:
             n, unique = 1, label
@@ -355,8 +356,7 @@ class _Parser:
 
         while True:
             if self.take("*"):
-                if aggregates or any(c in labels for c in shown):
-                    raise SqlError("* goes with functions only")
+                star = True
                 for c in shown:
                     add(c, F.col(f"`{c}`"))
             elif self.is_call() and self.toks[self.at][1].lower() in ("count", "sum", "avg"):
@@ -369,9 +369,12 @@ class _Parser:
                 add(self.get("name") if self.take("as") else label, c)
             else:
                 name = self.name()
+                plain = True
                 add(name, scope(name))
             if not self.take(","):
                 break
+        if star and (plain or aggregates):
+            raise SqlError("* goes with functions only")
         if not self.peek("from"):
             raise SqlError(f"unexpected {self.toks[self.at][1]!r}")
         if group:
