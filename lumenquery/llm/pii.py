@@ -114,7 +114,7 @@ def base_spans(text: Column) -> Column:
 # ---- candidates
 
 #: Feature names and ranges: the count table has at most the product of the ranges as rows.
-RANGES = {"shape": 4, "n_digits": 7, "n_groups": 4, "seps": 4, "length": 4, "cue": 5, "bounded": 2}
+RANGES = {"shape": 4, "n_digits": 7, "n_groups": 3, "seps": 4, "length": 4, "cue": 5, "bounded": 2}
 FEATURES = tuple(RANGES)
 CUES = {1: r"e-?mail|mail|contact|write", 2: r"\bip\b|host|server|addr", 3: r"card|visa|iban|account|payment", 4: r"phone|tel\b|call|fax|mobile|cell"}
 
@@ -134,7 +134,7 @@ def _features(c: Column, text: Column) -> Column:
     return F.struct(
         c["shape"].alias("shape"),
         _binned(d, (4, 7, 9, 10, 12, 16)).alias("n_digits"),
-        _binned(groups, (2, 3, 4)).alias("n_groups"),
+        _binned(groups, (2, 3)).alias("n_groups"),
         seps.alias("seps"),
         _binned(F.length(hit), (8, 12, 18)).alias("length"),
         cue.alias("cue"),
@@ -188,18 +188,28 @@ class Tree:
         return c if row[self.right[0]] <= self.right[1] else d
 
 
+LEAST_ROWS = 10  # candidates on either side of a split
+
+
 def _best_split(rows, grads, hess):
-    """The split of least loss by second-order gain; None if nothing separates the rows."""
+    """The split of least loss by second-order gain; None if nothing separates the rows.
+
+    A side has LEAST_ROWS candidates or more: what is rare and looks like a strict match is judged
+    with its like, not by its own missing label.
+    """
     g, h = sum(grads), sum(hess)
     best = (1e-9, None)
     for name, width in RANGES.items():
-        gs, hs = [0.0] * width, [0.0] * width
+        gs, hs, ns = [0.0] * width, [0.0] * width, [0] * width
         for r, a, b in zip(rows, grads, hess, strict=True):
             gs[r[name]] += a
             hs[r[name]] += b
-        gl = hl = 0.0
+            ns[r[name]] += r["n0"] + r["n1"]
+        gl = hl = nl = 0.0
         for v in range(width - 1):
-            gl, hl = gl + gs[v], hl + hs[v]
+            gl, hl, nl = gl + gs[v], hl + hs[v], nl + ns[v]
+            if min(nl, sum(ns) - nl) < LEAST_ROWS:
+                continue
             gain = gl * gl / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1)
             if gain > best[0]:
                 best = (gain, (name, v))
@@ -234,14 +244,20 @@ def fit(counts: list[dict], rounds: int = 30, rate: float = 0.4) -> tuple[float,
 
 
 def calibrate(counts: list[dict], bias: float, trees: list[Tree], precision: float = 0.9) -> float:
-    """The least log odds at and above which the labelled candidates have this precision; infinite if none."""
-    scored = sorted(((bias + sum(t.value(r) for t in trees), r["n0"], r["n1"]) for r in counts), reverse=True)
+    """The threshold on log odds: halfway between the least score down to which the labelled candidates
+    have this precision and the next score below; infinite if there is none."""
+    groups: dict[float, list[int]] = {}
+    for r in counts:
+        pair = groups.setdefault(bias + sum(t.value(r) for t in trees), [0, 0])
+        pair[0] += r["n0"]
+        pair[1] += r["n1"]
+    scores = sorted(groups, reverse=True)
     good = bad = 0
     best = math.inf
-    for i, (s, n0, n1) in enumerate(scored):
-        good, bad = good + n1, bad + n0
-        if (i + 1 == len(scored) or scored[i + 1][0] < s) and good >= precision * (good + bad):
-            best = s
+    for i, s in enumerate(scores):
+        bad, good = bad + groups[s][0], good + groups[s][1]
+        if good >= precision * (good + bad):
+            best = (s + scores[i + 1]) / 2 if i + 1 < len(scores) else s
     return best
 
 
