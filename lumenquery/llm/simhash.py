@@ -12,7 +12,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenquery.llm import golay
 from lumenquery.llm.frames import map_batches
@@ -127,8 +127,12 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 SEGMENTS = 11  # 23-bit segments of a wide fingerprint
 WORDS = 4  # 64-bit words of a wide fingerprint
-FAR = 80  # bits of 256 beyond which sets can't be nearly equal; texts with no words in common differ in 128
-CROWD = 64  # members of a key up to which all pairs of its components are compared
+# Bits of 256 beyond which pairs are not compared: sets of words, and of shingles. A similarity of 0.8 of
+# the shingles is a cosine of 0.89, of which 39 bits differ with a deviation of 6; of the words, fewer.
+FAR, FAR_SHINGLES = 52, 64
+HUBS = 8  # central members that a text is first compared with
+MIDDLE = 6  # central members of a crowded key that its texts are compared with
+CROWD = 16  # members of a key up to which all pairs of different components are compared
 
 
 def _spread(h: np.ndarray, n: int) -> np.ndarray:
@@ -139,34 +143,48 @@ def _spread(h: np.ndarray, n: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def wide_fingerprint(text: str | None) -> np.ndarray:
-    """256 bits: majorities over the distinct lower-case words, zero if there are none."""
-    h = np.unique(shingle_hashes(text, 1))
+def wide_fingerprint(text: str | None, width: int = 1) -> np.ndarray:
+    """256 bits: majorities over the distinct shingles, by default lower-case words; zero if there are none."""
+    h = np.unique(shingle_hashes(text, width))
     return np.array([majority(_spread(h, n)) for n in range(WORDS)], dtype=np.uint64)
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
-    return np.unique(shingle_hashes(text, width)).view(np.int64)
+    """Distinct 32-bit shingle hashes."""
+    return np.unique(shingle_hashes(text, width).astype(np.uint32)).view(np.int32)
 
 
-def _signatures(batches):
-    """Wide fingerprints, and the nearest codewords of their segments, five to a long."""
-    for b in batches:
-        fp = np.array([wide_fingerprint(t) for t in b.column(3).to_pylist()], dtype=np.uint64).reshape(-1, WORDS)
+_MARKS = [f"{x}{i}" for x in "fe" for i in range(WORDS)] + ["g0", "g1", "g2"]
+
+
+def _signatures(width: int):
+    """Wide fingerprints of words and shingles, and the codewords nearest to the words' segments, five to a long."""
+
+    def run(batches):
+        for b in batches:
+            yield from _signed_batch(b, width)
+
+    return run
+
+
+def _signed_batch(b, width: int):
+    if b.num_rows:
+        lines = b.column(3).to_pylist()
+        fp = np.array([wide_fingerprint(t) for t in lines], dtype=np.uint64).reshape(-1, WORDS)
+        grams = np.array([wide_fingerprint(t, width) for t in lines], dtype=np.uint64).reshape(-1, WORDS)
         bits = np.unpackbits(fp.astype("<u8").view(np.uint8), axis=1, bitorder="little")[:, : 23 * SEGMENTS]
         codes = golay.nearest(bits.reshape(-1, 23).astype(np.int64) @ (1 << np.arange(23))).reshape(-1, SEGMENTS).astype(np.int64)
         packs = []
         for at in range(0, SEGMENTS, 5):
             part = codes[:, at : at + 5]
             packs.append((part << (12 * np.arange(part.shape[1]))).sum(axis=1))
-        yield pa.record_batch([b.column(0), b.column(1), b.column(2), *[pa.array(fp[:, i].view(np.int64)) for i in range(WORDS)], *map(pa.array, packs)], names=["id", "h1", "h2", "f0", "f1", "f2", "f3", "g0", "g1", "g2"])
+        yield pa.record_batch([b.column(0), b.column(1), b.column(2), *[pa.array(np.ascontiguousarray(x[:, i]).view(np.int64)) for x in (fp, grams) for i in range(WORDS)], *map(pa.array, packs)], names=["id", "h1", "h2", *_MARKS])
 
 
 def _sets(width: int):
     def run(batches):
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([shingle_set(t, width) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["node", "grams"])
+            yield pa.record_batch([b.column(0), pa.array([shingle_set(t, width) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["node", "grams"])
 
     return run
 
@@ -186,16 +204,17 @@ def _key_rows(classes: DataFrame) -> DataFrame:
 
 def _near(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     """Pairs (a, b) whose wide fingerprints are not too far apart."""
-    side = lambda x: marks.select(F.col("node").alias(x), *[F.col(f"f{i}").alias(f"{x}{i}") for i in range(WORDS)])
-    far = sum(F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(WORDS))
-    return pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(far <= FAR).select("a", "b")
+    names = [c for c in _MARKS if c[0] in "fe"]
+    side = lambda x: marks.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in names])
+    far = lambda kind: sum(F.bit_count(F.col(f"a_{kind}{i}").bitwiseXOR(F.col(f"b_{kind}{i}"))) for i in range(WORDS))
+    return pairs.distinct().join(side("a"), "a").join(side("b"), "b").where((far("f") <= FAR) & (far("e") <= FAR_SHINGLES)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """(src, dst) of the pairs whose shingle sets have the similarity."""
     pairs = cut(pairs)
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = cut(map_batches(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), _sets(width), "node long, grams array<long>"))
+    sets = cut(map_batches(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), _sets(width), "node long, grams array<int>"))
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b").join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
     same = F.size(F.array_intersect("ga", "gb"))
     return both.where(same >= similarity * (F.size("ga") + F.size("gb") - same)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -206,33 +225,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Components join texts whose sets of `width`-word shingles have the Jaccard similarity; equal
     texts, and all texts without words, are one class before anything is joined. Candidate pairs
-    share the Golay codewords of two segments of their wide fingerprints. A key's members are first
-    compared with its least member only; members that this leaves in different components are then
-    compared with each other, or, where a key has more than CROWD members, with two members of other
-    components.
+    share the Golay codewords of two segments of their wide fingerprints. Every text is first
+    compared with the most central members of its keys, those that share most keys with most texts:
+    in a group of copies they are the least changed, so nearly all that is linked to anything is
+    linked to them. What this leaves in different components is then compared pair by pair within
+    each key; in keys of more than CROWD members, with the most
+    central of each of MIDDLE parts of the key.
     """
     h1, h2 = text_keys(F.col(text_col))
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("id"), h1.alias("h1"), h2.alias("h2"), F.col(text_col).alias("text"))
-    marks = cut(map_batches(slim, _signatures, f"id {kind}, h1 long, h2 long, f0 long, f1 long, f2 long, f3 long, g0 long, g1 long, g2 long"))
-    cols = ["f0", "f1", "f2", "f3", "g0", "g1", "g2"]
-    classes = cut(marks.where("h1 <> 0 OR h2 <> 0").groupBy(F.col("h1").alias("node"), "h2").agg(*[F.min(c).alias(c) for c in cols]))
+    marks = cut(map_batches(slim, _signatures(width), f"id {kind}, h1 long, h2 long, " + ", ".join(f"{c} long" for c in _MARKS)))
+    classes = cut(marks.where("h1 <> 0 OR h2 <> 0").groupBy(F.col("h1").alias("node"), "h2").agg(*[F.min(c).alias(c) for c in _MARKS]))
     texts = slim.select(F.col("h1").alias("node"), "text")
     keyed = _key_rows(classes)
-    shared = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("z")).where("n > 1 AND a <> z"))
-    members = cut(keyed.join(shared.where("n > 2"), "key").select("key", "node", "n", "a"))
-    stars = shared.where("n = 2").select("a", F.col("z").alias("b")).unionByName(members.where("node <> a").select("a", F.col("node").alias("b")))
-    first = cut(_verified(_near(stars, classes), texts, width, similarity))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("z")).where("n > 1 AND a <> z").select("key", "n")
+    members = cut(keyed.join(shared, "key").select("key", "node", "n"))
+    central = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    weighed = members.join(central, "node")
+    hubs = weighed.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("hub"))
+    offers = weighed.join(hubs, "key").where("node <> hub.node").select("node", F.col("hub.node").alias("x"), F.col("hub.weight").alias("w")).distinct()
+    best = offers.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("w"), "x"))).where(F.col("nth") <= HUBS)
+    tried = cut(best.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct())
+    first = cut(_verified(_near(tried, classes), texts, width, similarity))
     roots = cut(connected_components(first))
     placed = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by("node", "c").alias("low_node"), F.max_by("node", "c").alias("high_node")).where("low <> high")
+    split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
     mixed = cut(placed.join(split, "key"))
     few = mixed.where(F.col("n") <= CROWD)
     cross = few.select("key", F.col("node").alias("a"), F.col("c").alias("ca")).join(few.select("key", F.col("node").alias("b"), F.col("c").alias("cb")), "key").where("a < b AND ca <> cb").select("a", "b")
     many = mixed.where(F.col("n") > CROWD)
-    hubs = many.where("c <> low").select(F.col("low_node").alias("x"), "node").unionByName(many.where("c <> high").select(F.col("high_node").alias("x"), "node"))
-    hubs = hubs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-    second = _verified(_near(cross.unionByName(hubs), classes), texts, width, similarity)
+    middle = many.join(central, "node").groupBy("key", F.pmod("node", F.lit(MIDDLE))).agg(F.max(F.struct("weight", "node", "c")).alias("hub")).select("key", "hub")
+    star = many.join(middle, "key").where("c <> hub.c").select(F.least("node", F.col("hub.node")).alias("a"), F.greatest("node", F.col("hub.node")).alias("b"))
+    rest = cross.unionByName(star).distinct().join(tried, ["a", "b"], "left_anti")
+    second = _verified(_near(rest, classes), texts, width, similarity)
     final = connected_components(first.unionByName(second))
     rows = marks.groupBy("id", "h1", "h2").agg(F.count(F.lit(1)).alias("copies"))
     joined = rows.join(final, rows.h1 == final.node, "left")
