@@ -28,7 +28,7 @@ DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-_KEPT_CHARS, _KEPT_CHUNKS = 64, 600_000
+_KEPT_CHARS, _KEPT_CHUNKS = 64, 400_000
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, int | bytes]]:

@@ -15,6 +15,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from lumenquery.session import cut
 SAMPLE = 20_000  # labelled rows that the regression sees at most
 MIN_ROWS = 4  # toxic rows that a feature must occur in
 MIN_SHARE = 0.35  # share of toxic rows among a feature's rows
+CANDIDATES = 200_000  # features of toxic rows that are looked up in all rows at most, by number of rows
 LEXICON = 20_000  # features kept at most, by evidence
 SURE = 0.9  # a feature whose smoothed share is at least this speaks for itself
 
@@ -142,7 +144,7 @@ def beginnings(word: str) -> list[str]:
 class Restorer:
     """Words of texts as restored, with a bounded memory of words seen."""
 
-    KEPT = 300_000
+    KEPT = 200_000
 
     def __init__(self, cost: np.ndarray):
         self.cost = cost.tolist()
@@ -183,19 +185,24 @@ class Restorer:
         return {f for w in self.words(text) for f in beginnings(w)}
 
 
+_FLUSH = 150_000  # features counted in a task before they are handed on
+
+
 def _feature_counts(cost):
+    """(feature, n) of texts, added up as far as a bounded memory allows."""
+
+    def rows(counts: Counter) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
+
     def run(batches):
-        tool = Restorer(cost.value)
+        tool, counts = Restorer(cost.value), Counter()
         for b in batches:
-            bad, all_rows = Counter(), Counter()
-            for text, y in zip(texts(b.column(0)), b.column(1).to_pylist(), strict=True):
-                found = tool.features(text)
-                all_rows.update(found)
-                if y:
-                    bad.update(found)
-            yield pa.record_batch([pa.array(list(bad), pa.string()), pa.array(list(bad.values()), pa.int64()), pa.array([all_rows[f] for f in bad], pa.int64())], names=["feature", "n1", "n"])
-            rest = [f for f in all_rows if f not in bad]
-            yield pa.record_batch([pa.array(rest, pa.string()), pa.array([0] * len(rest), pa.int64()), pa.array([all_rows[f] for f in rest], pa.int64())], names=["feature", "n1", "n"])
+            for text in texts(b.column(0)):
+                counts.update(tool.features(text))
+                if len(counts) > _FLUSH:
+                    yield rows(counts)
+                    counts = Counter()
+        yield rows(counts)
 
     return run
 
@@ -246,6 +253,14 @@ def alone(kept, bias: float) -> dict[str, float]:
     return {f: math.log(q / (1 - q)) - bias for f, q in share.items() if q >= SURE and (f not in most or rows[f] >= 1.3 * most[f])}
 
 
+class Evidence(NamedTuple):
+    """A feature, its toxic rows and all its rows in the sample."""
+
+    feature: str
+    n1: int
+    n: int
+
+
 class Model:
     """What scoring needs: character costs, bias, and weights by feature."""
 
@@ -262,9 +277,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(sample)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
     rows = cut(rows.select(F.col("__text").alias("text"), F.col("__y").cast("int").alias("y")))
-    counts = map_batches(rows, _feature_counts(shared), "feature string, n1 long, n long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n"))
-    useful = counts.where((F.col("n1") >= MIN_ROWS) & (F.col("n1") >= MIN_SHARE * F.col("n")))
-    kept = useful.orderBy(F.desc(F.col("n1") * F.col("n1") / F.col("n")), "feature").limit(LEXICON).collect()
+    seen_bad = map_batches(rows.where("y > 0").select("text"), _feature_counts(shared), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n1")).where(F.col("n1") >= MIN_ROWS)
+    likely = {r.feature: r.n1 for r in seen_bad.orderBy(F.desc("n1"), "feature").limit(CANDIDATES).collect()}
+    places = {f: i for i, f in enumerate(sorted(likely))}
+    lexicon = spark.sparkContext.broadcast(places)
+    among = map_batches(rows, _known(shared, lexicon), "found array<int>, y int")
+    counts = {r.f: r.n for r in among.select(F.explode("found").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()}
+    useful = sorted(((-likely[f] * likely[f] / counts[i], f) for f, i in places.items() if likely[f] >= MIN_SHARE * counts.get(i, math.inf)))[:LEXICON]
+    kept = [Evidence(f, likely[f], counts[places[f]]) for _, f in useful]
     names = sorted(r.feature for r in kept)
     lexicon = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
     seen = map_batches(rows, _known(shared, lexicon), "found array<int>, y int").groupBy("found", "y").count().collect()
