@@ -65,8 +65,9 @@ def normalise(text: Column) -> Column:
     plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), _MARKED.lower(), _PLAIN.lower())
     plain = F.regexp_replace(plain, "ñ", "ñ")
     plain = F.regexp_replace(plain, "[̀-ͯ]", "")
-    single = r"(?<![\p{L}\p{N}_])"
-    return F.regexp_replace(plain, rf"(?<={single}[a-zñ])\.(?=[a-zñ]\.)|(?<={single}[a-zñ]\.[a-zñ])\.", "")
+    # a dot goes if the sign before it stands alone and a single sign with a dot follows, or went before
+    alone = r"(?<![\p{L}\p{N}_])"
+    return F.regexp_replace(plain, rf"\.(?<={alone}[a-zñ]\.)(?=[a-zñ]\.)|\.(?<={alone}[a-zñ]\.[a-zñ]\.)", "")
 
 
 def tokens(text: Column, language: str | None = None, stops: list[str] | None = None) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenquery.functions import text as T
 from lumenquery.functions.snowball import STEMMERS, stems
+from lumenquery.session import cut
 
 K1, B = 1.5, 0.75  # fixed values
 
@@ -72,7 +73,8 @@ def bm25(tokens: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float
     scan; document frequencies are those of the hits.
     """
     wanted = [r.term for r in queries.select("term").distinct().orderBy("term").collect()]
-    lengths = tokens.select("id", F.size("terms").alias("dl"), F.filter("terms", lambda t: t.isin(wanted) if wanted else F.lit(False)).alias("hits"))
+    # texts are read once: what the ranking needs of them is small
+    lengths = cut(tokens.select("id", F.size("terms").alias("dl"), F.filter("terms", lambda t: t.isin(wanted) if wanted else F.lit(False)).alias("hits")))
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     if not stats.n or not stats.avgdl:
         return queries.sparkSession.createDataFrame([], "query string, id long, score double, place int")
@@ -86,6 +88,21 @@ def bm25(tokens: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float
     return rank(scores, k)
 
 
+def bm25_postings(index: DataFrame, queries: DataFrame, n_docs: int, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """BM25 from stored postings; documents without terms count in the number and mean length only."""
+    lengths = index.groupBy("id").agg(F.sum("tf").alias("dl"))
+    words = index.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    if not n_docs or not words:
+        return index.sparkSession.createDataFrame([], "query string, id long, score double, place int")
+    tf = index.join(F.broadcast(queries.select("term").distinct()), "term", "left_semi").join(lengths, "id")
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.ln((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    asked = queries.select("query", "term").distinct().join(df, "term").select("query", "term", idf.alias("idf"))
+    scale = k1 * (1 - b + b * F.col("dl") / F.lit(words / n_docs))
+    scores = tf.join(F.broadcast(asked), "term").groupBy("query", "id").agg(F.sum(F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + scale)).alias("score"))
+    return rank(scores, k)
+
+
 def coordination(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Rank by the number of query terms met, then by the sum of tf / (1 + length / 10)."""
     lengths = index.groupBy("id").agg(F.sum("tf").alias("dl"))

@@ -453,14 +453,12 @@ class Session:
         if base.indexes.get(column, {}).get("kind") != "text":
             raise SqlError(f"MATCH needs an inverted index on {column}")
         asked = X.query_terms(self.spark, {"q": words}, self.language, self.stemming)
-        index = X.postings(base.df, base.key, column, self.language, self.stemming)
+        kept = base.indexes[column]
+        if "postings" not in kept:
+            kept["postings"] = cut(X.postings(base.df, base.key, column, self.language, self.stemming))
         n = base.df.count()
-        if method == "BM25":
-            terms = index.groupBy("id").agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int")))).alias("terms"))
-            every = base.df.select(F.col(base.key).alias("id")).join(terms, "id", "left").select("id", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
-            hits = X.bm25(every, asked, max(n, 1))
-        else:
-            hits = X.tfidf(index, asked, n, max(n, 1))
+        rank = X.bm25_postings if method == "BM25" else X.tfidf
+        hits = rank(kept["postings"], asked, n, max(n, 1))
         return df.join(hits.select(F.col("id").alias("__id"), F.col("score").alias("__score")), F.col(f"`{base.key}`") == F.col("__id")).drop("__id")
 
     def similar(self, df: DataFrame, base: Table, asked: str, k: int, method: str, metric: str) -> DataFrame:
@@ -546,6 +544,7 @@ class Session:
         t = self.tables[name]
         for i in t.indexes.values():
             i.pop("ivf", None)
+            i.pop("postings", None)
         t.df = cut(df)
 
     def _insert(self, p) -> None:

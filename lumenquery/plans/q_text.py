@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lumenquery.functions import text as T
 from lumenquery.operators import text_index as X
 from lumenquery.plans.registry import query
-from lumenquery.session import table
+from lumenquery.session import cut, table
 
 QUERIES = {"q1": "the token of that secret password", "q2": "apache license version", "q3": "idiot loser and trash with stupid clown", "q4": "ment euxre cion und der"}
 _ACCENTS = ("áàâäãåéèêëíìîïóòôöõúùûüçýÿ", "aaaaaaeeeeiiiiooooouuuucyy")
@@ -24,7 +24,8 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.postings(table(spark, sf_dir, "documents"), "doc_id", "text", "english")
+    """Postings, written once: every ranking reads them several times."""
+    return cut(X.postings(table(spark, sf_dir, "documents"), "doc_id", "text", "english"))
 
 
 def _asked(spark: SparkSession) -> DataFrame:
@@ -47,7 +48,8 @@ def text_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     sc AS (SELECT query, p.id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM asked a JOIN post p USING (term) JOIN dfs USING (term) JOIN len USING (id), stat GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS place FROM sc) SELECT query, id, round(score, 6) AS score, CAST(place AS INT) AS place FROM r WHERE place <= 10""")
 def text_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.rank(X.bm25(_tokens(spark, sf_dir), _asked(spark), 40).withColumn("score", F.round("score", 9)).drop("place"), 10).withColumn("score", F.round("score", 6))
+    found = X.bm25(_tokens(spark, sf_dir), _asked(spark), 40).withColumn("score", F.round("score", 9)).drop("place")
+    return X.rank(found, 10).withColumn("score", F.round("score", 6))
 
 
 @query("text_tfidf", f"""WITH {_TOKENS}, {_ASKED}, norm AS (SELECT id, sqrt(sum(pow(log10(1 + tf) * log10(n / df::DOUBLE), 2))) AS norm FROM post JOIN dfs USING (term), stat GROUP BY id),
@@ -113,9 +115,9 @@ def text_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("text_stemmed_bm25")
 def text_stemmed_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English stems on both sides; the stemmer has no SQL form."""
-    index = X.postings(table(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id", "text", "english", stemming=True)
-    tokens = index.groupBy("id").agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int")))).alias("terms"))
-    return X.bm25(tokens, X.query_terms(spark, {"q": "licensed versions of passwords"}, "english", stemming=True), 10)
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    index = cut(X.postings(docs, "doc_id", "text", "english", stemming=True))
+    return X.bm25_postings(index, X.query_terms(spark, {"q": "licensed versions of passwords"}, "english", stemming=True), docs.count(), 10)
 
 
 @query("text_snippet", """SELECT doc_id, CASE WHEN length(text) <= 160 THEN text WHEN i = 0 THEN text[1:160] || '...' ELSE
