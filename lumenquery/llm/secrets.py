@@ -33,6 +33,9 @@ _DIGIT = re.compile(r"[0-9]")
 SYMBOLS = 64  # signs of the uniform source that formats are held against
 SAMPLE = 800  # labelled credentials of a label that an automaton is fitted to at most
 ORDINARY = 5_000  # other tokens that the threshold is held against at most
+BACKING = 2.0  # weight of a class's counts behind a sign's own
+SHARES = 64  # hash shares that each give as many words to the sample
+FALSE_SHARE = 0.01  # share of the ordinary tokens that may pass a threshold
 ALPHA = 0.05  # risk of the Hoeffding test
 LONGEST = 256  # signs of a labelled credential that are fitted
 
@@ -65,6 +68,7 @@ class Automaton:
         self.next: list[dict[str, int]] = []
         self.count: list[Counter] = []
         self.stop: list[int] = []
+        self.known: dict[int, tuple] = {}
 
     def add(self) -> int:
         self.next.append({})
@@ -75,17 +79,42 @@ class Automaton:
     def likelihood(self, word: str) -> float:
         """Log likelihood a sign, the end included, over that of the uniform source.
 
-        Unseen signs and ends have a small share of every state; an unseen sign stays in place.
+        A state's counts are backed by those of their classes (digits, small and capital letters, other
+        signs), and any sign has a small share; an unseen one goes the way of its class, or of most.
         """
         state, total = 0, 0.0
         for ch in word:
-            seen = sum(self.count[state].values()) + self.stop[state]
-            total += math.log((self.count[state][ch] + 0.5 / SYMBOLS) / (seen + 0.5))
-            state = self.next[state].get(ch, state)
-        seen = sum(self.count[state].values()) + self.stop[state]
-        total += math.log((self.stop[state] + 0.005) / (seen + 0.5))
+            counts, stop, classes, ways = self._at(state)
+            seen = sum(classes.values()) + stop
+            kind = _class(ch)
+            backed = BACKING * (classes.get(kind, 0) + 0.02) / (seen + 0.1) / _CLASS_SIZE[kind]
+            total += math.log((counts[ch] + backed) / (seen + BACKING))
+            to = self.next[state].get(ch)
+            state = ways.get(kind, ways.get("", state)) if to is None else to
+        _, stop, classes, _ = self._at(state)
+        total += math.log((stop + 0.005) / (sum(classes.values()) + stop + 0.5))
         return total / (len(word) + 1) + math.log(SYMBOLS)
 
+    def _at(self, state: int) -> tuple[Counter, int, dict[str, int], dict[str, int]]:
+        """Counts, ends, class counts, and the commonest successor of each class and of all."""
+        if state not in self.known:
+            classes: dict[str, int] = {}
+            ways: dict[str, Counter] = {}
+            for ch, n in self.count[state].items():
+                kind = _class(ch)
+                classes[kind] = classes.get(kind, 0) + n
+                for k in (kind, ""):
+                    ways.setdefault(k, Counter())[self.next[state][ch]] += n
+            self.known[state] = (self.count[state], self.stop[state], classes, {k: c.most_common(1)[0][0] for k, c in ways.items()})
+        return self.known[state]
+
+
+def _class(ch: str) -> str:
+    return "9" if "0" <= ch <= "9" else "a" if "a" <= ch <= "z" else "A" if "A" <= ch <= "Z" else "+"
+
+
+_CLASS_SIZE = {"9": 10, "a": 26, "A": 26, "+": 2}
+
 
 def _differ(c1: int, n1: int, c2: int, n2: int, alpha: float) -> bool:
     if not n1 or not n2:
@@ -195,9 +224,11 @@ def fit(labelled: dict[str, list[str]], ordinary: list[str]) -> Model:
         a = infer(words[::2])
         held = sorted(a.likelihood(w) for w in words[1::2])
         low = held[len(held) // 50]
-        high = max((a.likelihood(w) for w in ordinary), default=-math.inf)
+        other = sorted(a.likelihood(w) for w in ordinary)
+        # ordinary tokens are not all innocent, so only a share of them has to stay below
+        high = other[int(len(other) * (1 - FALSE_SHARE))] + 1e-9 if other else -math.inf
         if low > 0:
-            out.append((a, max(low, high + 1e-9)))
+            out.append((a, max(low, high)))
     return Model(out)
 
 
@@ -215,13 +246,12 @@ def _learn(batches):
 
 
 def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, ordinary: int = ORDINARY) -> Model:
-    """Fit on credentials and tokens of all documents, the first of each label in hash order."""
+    """Fit on credentials and tokens of all documents, the first of each label in every hash share."""
     words = map_batches(docs.select(text_col), _learn, "label string, word string").distinct()
-    order = Window.partitionBy("label").orderBy(F.xxhash64("word"), "word")
-    most = F.when(F.col("label") == "", ordinary).otherwise(sample)
-    near = words.withColumn("share", F.pmod(F.xxhash64("word", F.lit(3)), F.lit(64)))
+    most = F.when(F.col("label") == "", math.ceil(ordinary / SHARES)).otherwise(math.ceil(sample / SHARES))
+    near = words.withColumn("share", F.pmod(F.xxhash64("word", F.lit(3)), F.lit(SHARES)))
     first = near.withColumn("nth", F.row_number().over(Window.partitionBy("label", "share").orderBy(F.xxhash64("word"), "word"))).where(F.col("nth") <= most)
-    rows = first.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("label", "word").orderBy("label", F.xxhash64("word"), "word").collect()
+    rows = first.select("label", "word").orderBy("label", F.xxhash64("word"), "word").collect()
     labelled: dict[str, list[str]] = {}
     for r in rows:
         labelled.setdefault(r.label, []).append(r.word)

@@ -19,7 +19,7 @@ def brute_secrets(text):
 def test_secret_spans(spark, odd_docs, no_docs):
     rng = random.Random(2)
     hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(18)) for _ in range(60)]
-    texts = [f"é🙂 login PassWord = \"{h}\" done" for h in hexes[:50]] + [f"see {h} there" for h in hexes[50:]] + ["token: abc", "tokens token=abcdef", "AKIA" + "Z9" * 8, "a" * 30, "", None, "ordinary12words 2024-01-01T00", "ſecret=abcdefgh"]
+    texts = [f"é🙂 login PassWord = \"{h}\" done" for h in hexes[:50]] + [f"see {h} there" for h in hexes[50:]] + ["token: abc", "tokens token=abcdef", "AKIA" + "Z9" * 8, "a" * 30, "", None, "ordinary12words 2024-01-01T00", "ſecret=abcdefgh"] + [f"order_number_{i} of 2024-01-{i % 28:02}T00" for i in range(1500)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = {r.doc_id: r for r in S.scan(docs, S.train(docs)).collect()}
     for i, t in enumerate(texts):
