@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,13 +10,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 #: Rows in one Arrow batch: whole texts travel in a batch, so it is kept short.
-BATCH_ROWS = 1000
+BATCH_ROWS = 400
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: worker processes outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with short batches."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def texts(column: pa.Array) -> list[str]:
