@@ -25,6 +25,7 @@ SAMPLE = 16  # pages of a host that its wrapper is inferred from at most
 LONGEST = 400  # folded items of a page that takes part in inference at most
 TEMPLATE_PAGES = 5  # different pages that must agree on a text before it counts as template
 BROADCAST_BYTES = 32_000_000  # wrappers up to this size travel to every task, more are joined
+BROADCAST_KEYS = 200_000  # sampled pages up to this many are looked up without moving any page, more are joined
 SQUARE = 40  # tokens of a square that is folded at most
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>"']++|"[^"]*"|'[^']*')*+)>|/?[a-zA-Z!?][^>]*>)""", re.DOTALL)
@@ -411,6 +412,9 @@ def wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     key = F.xxhash64(F.col(id_col), F.col(url_col))
     keyed = pages.select(host(F.col(url_col)).alias("host"), key.alias("place"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     first = keyed.groupBy("host", F.pmod("place", F.lit(sample)).alias("bucket")).agg(F.min("place").alias("place")).select("host", "place")
+    first = cut(first)
+    if first.count() <= BROADCAST_KEYS:
+        first = F.broadcast(first)
     chosen = keyed.join(first, ["host", "place"])
 
     def learn(table: pa.Table) -> pa.Table:
