@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -16,7 +18,7 @@ TABLES = (
 def build_session(app: str = "lumenquery", cpus: int | None = None, memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own through spark-submit."""
     n = cpus or os.cpu_count() or 8
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{n}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(n))
@@ -26,6 +28,27 @@ def build_session(app: str = "lumenquery", cpus: int | None = None, memory: str
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once an application, so functions need no install there."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    root = Path(__file__).resolve().parent
+    if not root.is_dir():  # the package came in an archive of its own
+        return
+    archive = Path(os.path.realpath(tempfile.mkdtemp(prefix="lumenquery-"))) / "lumenquery.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(archive))
 
 
 #: Tables of text in this many files or fewer are dealt out to all cores; larger ones come in splits.
@@ -39,6 +62,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     A few files hold a few row groups, which a few cores would read: small tables of text are dealt
     out first. Filters and column choices still reach the scan.
     """
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if name in TEXT_TABLES and len(df.inputFiles()) <= FEW_FILES:
         df = df.repartition(spark.sparkContext.defaultParallelism)
@@ -70,6 +94,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder, so a lost executor costs no recomputation."""
+    ship(df.sparkSession)
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
