@@ -39,4 +39,4 @@ def group_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-from lumenquery.plans import q_dialect, q_recommend, q_relational, q_spatial, q_tables, q_text, q_vector  # noqa: E402, F401  (modules register their queries)
+from lumenquery.plans import q_dialect, q_evaluation, q_recommend, q_relational, q_spatial, q_tables, q_text, q_vector  # noqa: E402, F401  (modules register their queries)
