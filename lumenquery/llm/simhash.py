@@ -7,8 +7,6 @@ similarity of 0.8 or more: wide fingerprints and Golay codewords propose pairs,
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -125,14 +123,16 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # ---- near duplicates by shingle sets
 
-SEGMENTS = 11  # 23-bit segments of a wide fingerprint
-WORDS = 4  # 64-bit words of a wide fingerprint
-# Bits of 256 beyond which pairs are not compared: sets of words, and of shingles. A similarity of 0.8 of
-# the shingles is a cosine of 0.89, of which 39 bits differ with a deviation of 6; of the words, fewer.
-FAR, FAR_SHINGLES = 52, 64
-HUBS = 8  # central members that a text is first compared with
-MIDDLE = 6  # central members of a crowded key that its texts are compared with
-CROWD = 16  # members of a key up to which all pairs of different components are compared
+SEGMENTS = 41  # 23-bit segments of the words' fingerprint
+STEPS = (1, 5)  # a key holds the codewords of two segments this many places apart
+WORDS = 15  # 64-bit parts of the words' fingerprint
+GRAM_WORDS = 4  # and of the shingles'
+# Differing bits of 256 beyond which pairs are not compared: a similarity of 0.8 of the shingles is a
+# cosine of 0.89, of which 39 bits differ with a deviation of 6.
+FAR = 64
+HUBS = 6  # central members that a text is first compared with
+MIDDLE = 2  # central members of a crowded key that its texts are compared with
+CROWD = 8  # members of a key up to which all pairs of different components are compared
 
 
 def _spread(h: np.ndarray, n: int) -> np.ndarray:
@@ -143,10 +143,15 @@ def _spread(h: np.ndarray, n: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def wide_fingerprint(text: str | None, width: int = 1) -> np.ndarray:
-    """256 bits: majorities over the distinct shingles, by default lower-case words; zero if there are none."""
+def wide_fingerprint(text: str | None, width: int = 1, parts: int = WORDS) -> np.ndarray:
+    """Bits (64 a part) that are set in over half of the distinct shingles, by default lower-case words."""
     h = np.unique(shingle_hashes(text, width))
-    return np.array([majority(_spread(h, n)) for n in range(WORDS)], dtype=np.uint64)
+    ones = np.zeros(64 * parts, dtype=np.int64)
+    for at in range(0, len(h), _BLOCK // parts):
+        part = h[at : at + _BLOCK // parts]
+        mixed = np.stack([_spread(part, n) for n in range(parts)], axis=1)
+        ones += np.unpackbits(mixed.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return ones * 2 > len(h) if len(h) else ones > 0
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -154,33 +159,27 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, width).astype(np.uint32)).view(np.int32)
 
 
-_MARKS = [f"{x}{i}" for x in "fe" for i in range(WORDS)] + ["g0", "g1", "g2"]
+_MARKS = [f"e{i}" for i in range(GRAM_WORDS)] + [f"g{i}" for i in range(-(-SEGMENTS // 5))]
 
 
 def _signatures(width: int):
-    """Wide fingerprints of words and shingles, and the codewords nearest to the words' segments, five to a long."""
+    """Fingerprints of the shingles, and the codewords nearest to the segments of the words', five to a long."""
 
     def run(batches):
         for b in batches:
-            yield from _signed_batch(b, width)
+            if not b.num_rows:
+                continue
+            lines = b.column(3).to_pylist()
+            bits = np.array([wide_fingerprint(t)[: 23 * SEGMENTS] for t in lines])
+            codes = golay.nearest(bits.reshape(-1, 23) @ (1 << np.arange(23))).reshape(-1, SEGMENTS).astype(np.int64)
+            packs = [(codes[:, at : at + 5] << (12 * np.arange(min(5, SEGMENTS - at)))).sum(axis=1) for at in range(0, SEGMENTS, 5)]
+            grams = np.packbits([wide_fingerprint(t, width, GRAM_WORDS) for t in lines], axis=1, bitorder="little").view("<i8")
+            cols = [np.ascontiguousarray(grams[:, i]) for i in range(GRAM_WORDS)] + packs
+            yield pa.record_batch([b.column(0), b.column(1), b.column(2), *map(pa.array, cols)], names=["id", "h1", "h2", *_MARKS])
 
     return run
 
 
-def _signed_batch(b, width: int):
-    if b.num_rows:
-        lines = b.column(3).to_pylist()
-        fp = np.array([wide_fingerprint(t) for t in lines], dtype=np.uint64).reshape(-1, WORDS)
-        grams = np.array([wide_fingerprint(t, width) for t in lines], dtype=np.uint64).reshape(-1, WORDS)
-        bits = np.unpackbits(fp.astype("<u8").view(np.uint8), axis=1, bitorder="little")[:, : 23 * SEGMENTS]
-        codes = golay.nearest(bits.reshape(-1, 23).astype(np.int64) @ (1 << np.arange(23))).reshape(-1, SEGMENTS).astype(np.int64)
-        packs = []
-        for at in range(0, SEGMENTS, 5):
-            part = codes[:, at : at + 5]
-            packs.append((part << (12 * np.arange(part.shape[1]))).sum(axis=1))
-        yield pa.record_batch([b.column(0), b.column(1), b.column(2), *[pa.array(np.ascontiguousarray(x[:, i]).view(np.int64)) for x in (fp, grams) for i in range(WORDS)], *map(pa.array, packs)], names=["id", "h1", "h2", *_MARKS])
-
-
 def _sets(width: int):
     def run(batches):
         for b in batches:
@@ -196,18 +195,18 @@ def text_keys(text: Column) -> tuple[Column, Column]:
 
 
 def _key_rows(classes: DataFrame) -> DataFrame:
-    """(key, node): one key for each pair of segments, both codewords in it."""
+    """(key, node): one key for each chosen pair of segments, both codewords in it."""
     code = [F.shiftright(F.col(f"g{i // 5}"), 12 * (i % 5)).bitwiseAND(F.lit(0xFFF)) for i in range(SEGMENTS)]
-    pairs = [F.lit(n << 24).cast("long") + F.shiftleft(code[i], 12) + code[j] for n, (i, j) in enumerate(combinations(range(SEGMENTS), 2))]
+    chosen = [(i, (i + d) % SEGMENTS) for d in STEPS for i in range(SEGMENTS)]
+    pairs = [F.lit(n << 24).cast("long") + F.shiftleft(code[i], 12) + code[j] for n, (i, j) in enumerate(chosen)]
     return classes.select(F.explode(F.array(*pairs)).alias("key"), "node")
 
 
 def _near(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose wide fingerprints are not too far apart."""
-    names = [c for c in _MARKS if c[0] in "fe"]
-    side = lambda x: marks.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in names])
-    far = lambda kind: sum(F.bit_count(F.col(f"a_{kind}{i}").bitwiseXOR(F.col(f"b_{kind}{i}"))) for i in range(WORDS))
-    return pairs.distinct().join(side("a"), "a").join(side("b"), "b").where((far("f") <= FAR) & (far("e") <= FAR_SHINGLES)).select("a", "b")
+    """Pairs (a, b) whose shingle fingerprints are not too far apart."""
+    side = lambda x: marks.select(F.col("node").alias(x), *[F.col(f"e{i}").alias(f"{x}{i}") for i in range(GRAM_WORDS)])
+    far = sum(F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(GRAM_WORDS))
+    return pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(far <= FAR).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -238,7 +237,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = cut(map_batches(slim, _signatures(width), f"id {kind}, h1 long, h2 long, " + ", ".join(f"{c} long" for c in _MARKS)))
     classes = cut(marks.where("h1 <> 0 OR h2 <> 0").groupBy(F.col("h1").alias("node"), "h2").agg(*[F.min(c).alias(c) for c in _MARKS]))
     texts = slim.select(F.col("h1").alias("node"), "text")
-    keyed = _key_rows(classes)
+    # dealt by key once, for the counts and for the join with them
+    keyed = _key_rows(classes).repartition("key")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("z")).where("n > 1 AND a <> z").select("key", "n")
     members = cut(keyed.join(shared, "key").select("key", "node", "n"))
     central = members.groupBy("node").agg(F.sum("n").alias("weight"))
