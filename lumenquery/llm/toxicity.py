@@ -144,7 +144,7 @@ def beginnings(word: str) -> list[str]:
 class Restorer:
     """Words of texts as restored, with a bounded memory of words seen."""
 
-    KEPT = 200_000
+    KEPT = 400_000
 
     def __init__(self, cost: np.ndarray):
         self.cost = cost.tolist()
@@ -156,34 +156,51 @@ class Restorer:
         bare = unicodedata.normalize("NFKC", _INVISIBLE.sub("", bare)).lower() if not bare.isascii() else bare
         if len(bare) < 2 or not _SUSPECT.search(bare):
             return (bare,) if bare else ()
-        if len(bare) > 200 or not any(c.isalpha() or c in "@$!|*" for c in bare):
+        if not any(c.isalpha() or c in "@$!|*" for c in bare):
             return (bare,)
-        return tuple(decode(bare, self.cost).split())
+        if len(bare) <= 200:
+            return tuple(decode(bare, self.cost).split())
+        return tuple(w for at in range(0, len(bare), 160) for w in decode(bare[at : at + 200], self.cost).split())
+
+    def spaced(self, lower: str) -> list[str]:
+        """Words that stand spelled out with spaces."""
+        out = []
+        for m in _SPACED.finditer(lower):
+            signs = m.group()
+            if len(set(signs)) > 3:
+                for at in range(0, len(signs), 400):  # long runs are decoded in overlapping pieces
+                    out += decode(signs[at : at + 440], self.cost).split()
+        return out
 
     def words(self, text: str) -> set[str]:
         """All restored words of a text, spaced-out spellings included."""
         lower = text.lower()
+        return {w for token in set(lower.split()) for w in self.word(token)}.union(self.spaced(lower))
+
+    def features(self, text: str) -> set[str]:
+        return {f for w in self.words(text) for f in beginnings(w)}
+
+    def known(self, text: str, lexicon) -> set[str]:
+        """The features of a text that a lexicon has; what each token has of it is remembered.
+
+        One restorer serves one lexicon.
+        """
+        lower = text.lower()
         found: set[str] = set()
         kept = self.kept
         for token in set(lower.split()):
             got = kept.get(token)
             if got is None:
-                got = self.word(token)
+                got = tuple(f for w in self.word(token) for f in beginnings(w) if f in lexicon)
                 if len(token) <= 40:
                     kept[token] = got
-            found.update(got)
-        for m in _SPACED.finditer(lower):
-            signs = m.group()
-            if len(set(signs)) > 3:
-                for at in range(0, len(signs), 400):  # long runs are decoded in overlapping pieces
-                    found.update(decode(signs[at : at + 440], self.cost).split())
+            if got:
+                found.update(got)
+        found.update(f for w in self.spaced(lower) for f in beginnings(w) if f in lexicon)
         if len(kept) > self.KEPT:
             self.kept = {}
         return found
 
-    def features(self, text: str) -> set[str]:
-        return {f for w in self.words(text) for f in beginnings(w)}
-
 
 _FLUSH = 150_000  # features counted in a task before they are handed on
 
@@ -211,7 +228,7 @@ def _known(cost, lexicon):
     def run(batches):
         tool, known = Restorer(cost.value), lexicon.value
         for b in batches:
-            rows = [sorted(known[f] for f in tool.features(t) if f in known) for t in texts(b.column(0))]
+            rows = [sorted(known[f] for f in tool.known(t, known)) for t in texts(b.column(0))]
             yield pa.record_batch([pa.array(rows, pa.list_(pa.int32())), b.column(1)], names=["found", "y"])
 
     return run
@@ -300,7 +317,7 @@ def _scores(model: tuple, lines: list[str], tool: Restorer) -> list[float]:
     _, bias, weights = model
     out = []
     for t in lines:
-        z = bias + sum(weights[f] for f in sorted(f for f in tool.features(t) if f in weights))
+        z = bias + sum(weights[f] for f in sorted(tool.known(t, weights)))
         out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
     return out
 
