@@ -7,6 +7,8 @@ similarity of 0.8 or more: wide fingerprints and Golay codewords propose pairs,
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -133,6 +135,8 @@ FAR = 64
 HUBS = 6  # central members that a text is first compared with
 MIDDLE = 2  # central members of a crowded key that its texts are compared with
 CROWD = 8  # members of a key up to which all pairs of different components are compared
+SAMPLE = 20_000  # texts whose shingles are counted to put common ones last; only the cost depends on it
+COMMON = 1 << 18  # most frequent shingles of them that are told to all tasks
 
 
 def _spread(h: np.ndarray, n: int) -> np.ndarray:
@@ -219,6 +223,72 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return both.where(same >= similarity * (F.size("ga") + F.size("gb") - same)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
+def _prefixes(width: int, similarity: float, common: np.ndarray, counts: np.ndarray):
+    """The shingles of a text that a partner of the similarity must meet one of, rare ones first."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sizes, heads = [], []
+            for t in b.column(1).to_pylist():
+                h = np.unique(shingle_hashes(t, width))
+                weight = np.zeros(len(h), dtype=np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    weight = np.where(common[at] == h, counts[at], 0)
+                sizes.append(len(h))
+                heads.append(h[np.lexsort((h, weight))][: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64))
+            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], names=["node", "size", "head"])
+
+    return run
+
+
+def _shingles(width: int):
+    def run(batches):
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.record_batch([pa.array(np.unique(shingle_hashes(t, width)).view(np.int64))], names=["h"])
+
+    return run
+
+
+def _common_shingles(texts: DataFrame, roots: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles met twice or more in a sample of the texts (copies counted once), sorted, and their counts."""
+    spark = texts.sparkSession
+    total = texts.count()
+    picked = texts.where(F.pmod(F.xxhash64("node"), F.lit(max(1, total // SAMPLE))) == 0).dropDuplicates(["node"])
+    picked = picked.join(roots.where("node <> component").select("node"), "node", "left_anti").select("text")
+    found = map_batches(picked, _shingles(width), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = found.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h = np.asarray(rows.column("h")).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.asarray(rows.column("n"))[order]
+
+
+def prefix_pairs(texts: DataFrame, roots: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b): every pair of (node, text) rows that may have the similarity, but those of one component.
+
+    A complete filter: in any one order of all shingles, two sets of Jaccard similarity t share one
+    among the first |x| - ceil(2t / (1 + t) |x|) + 1 of the smaller and the first |y| - ceil(t |y|) + 1
+    of the larger, and what follows the first shared one bounds the overlap. The order puts shingles
+    that are common in a sample last, so that form letters meet by what sets them apart.
+    """
+    common, counts = _common_shingles(texts, roots, width)
+    heads = map_batches(texts, _prefixes(width, similarity, common, counts), "node long, size long, head array<long>").dropDuplicates(["node"])
+    heads = heads.join(roots, "node", "left").select("node", "size", "head", F.coalesce("component", "node").alias("c"))
+    posted = heads.select("node", "size", "c", F.posexplode("head").alias("place", "key")).repartition("key")
+    split = posted.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    mixed = cut(posted.join(split, "key"))
+    x, y = (mixed.select("key", *[F.col(k).alias(f"{k}_{side}") for k in ("node", "size", "place", "c")]) for side in "xy")
+    x = x.where(F.col("place_x") <= F.col("size_x") - F.ceil(2 * similarity / (1 + similarity) * F.col("size_x") - 1e-9))
+    ordered = (F.col("size_x") < F.col("size_y")) | ((F.col("size_x") == F.col("size_y")) & (F.col("node_x") < F.col("node_y")))
+    long_enough = F.col("size_x") >= similarity * F.col("size_y") - 1e-6
+    enough = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) >= similarity / (1 + similarity) * (F.col("size_x") + F.col("size_y")) - 1e-6
+    met = x.join(y, (x["key"] == y["key"]) & (F.col("c_x") != F.col("c_y")) & ordered & long_enough & enough)
+    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per distinct (id, text): id, h1, h2 (see text_keys), c1, c2 (its component), copies (rows).
 
@@ -229,7 +299,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in a group of copies they are the least changed, so nearly all that is linked to anything is
     linked to them. What this leaves in different components is then compared pair by pair within
     each key; in keys of more than CROWD members, with the most
-    central of each of MIDDLE parts of the key.
+    central of each of MIDDLE parts of the key. These two passes only save work: what they leave in
+    different components is compared wherever `prefix_pairs` allows the similarity at all.
     """
     h1, h2 = text_keys(F.col(text_col))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -258,8 +329,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     middle = many.join(central, "node").groupBy("key", F.pmod("node", F.lit(MIDDLE))).agg(F.max(F.struct("weight", "node", "c")).alias("hub")).select("key", "hub")
     star = many.join(middle, "key").where("c <> hub.c").select(F.least("node", F.col("hub.node")).alias("a"), F.greatest("node", F.col("hub.node")).alias("b"))
     rest = cross.unionByName(star).distinct().join(tried, ["a", "b"], "left_anti")
-    second = _verified(_near(rest, classes), texts, width, similarity)
-    final = connected_components(first.unionByName(second))
+    second = cut(first.unionByName(_verified(_near(rest, classes), texts, width, similarity)))
+    roots = cut(connected_components(second))
+    last = prefix_pairs(texts.where("node <> 0"), roots, width, similarity)
+    third = _verified(last, texts, width, similarity)
+    final = connected_components(second.unionByName(third))
     rows = marks.groupBy("id", "h1", "h2").agg(F.count(F.lit(1)).alias("copies"))
     joined = rows.join(final, rows.h1 == final.node, "left")
     return joined.select("id", "h1", "h2", F.coalesce("component", "h1").alias("c1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("c2"), "copies")

@@ -117,3 +117,46 @@ def test_large_group_of_near_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert simhash.deduplicate(docs).count() == 1
     assert simhash.near_duplicates(docs).agg(F.count_distinct("c1")).first()[0] == 1
+
+
+def shingle_sets(texts, width=5):
+    split = [t.split() for t in texts]
+    return [{tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in split]
+
+
+def brute_components(texts, similarity=0.8):
+    sets, parent = shingle_sets(texts), list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if same >= similarity * (len(sets[i]) + len(sets[j]) - same):
+                parent[find(i)] = find(j)
+    return {frozenset(i for i in range(len(texts)) if find(i) == r) for r in {find(i) for i in range(len(texts))}}
+
+
+def found_components(spark, texts):
+    groups = {}
+    for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        groups.setdefault((r.c1, r.c2), set()).add(r.id)
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_pairs_of_copies_in_a_family_of_form_letters(spark):
+    rng = random.Random(7)
+    base, texts = [f"form{i}" for i in range(200)], []
+    for n in range(400):
+        words = [*base]
+        for k in range(5):
+            words[20 + 30 * k] = f"field{n}x{k}"
+        near = [*words]
+        near[rng.randrange(200)] = f"edit{n}"
+        texts += [" ".join(words), " ".join(near)]
+    want = brute_components(texts)
+    assert len(want) == 400
+    assert found_components(spark, texts) == want
