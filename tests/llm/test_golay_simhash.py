@@ -160,3 +160,14 @@ def test_pairs_of_copies_in_a_family_of_form_letters(spark):
     want = brute_components(texts)
     assert len(want) == 400
     assert found_components(spark, texts) == want
+
+
+def test_cut_copies_at_the_similarity_and_above(spark):
+    rng, texts = random.Random(11), []
+    for n in range(90):
+        words = [f"{rng.choice('abcdefgh')}{rng.randrange(3000)}" for _ in range(104)]  # 100 shingles
+        keep = (84, 89, 94)[n % 3]  # 80, 85 and 90 of them
+        texts += [" ".join(words), " ".join(words[:keep] if n % 2 else words[-keep:])]
+    want = brute_components(texts)
+    assert len(want) == 90
+    assert found_components(spark, texts) == want
