@@ -88,18 +88,22 @@ def bm25(tokens: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float
     return rank(scores, k)
 
 
-def bm25_postings(index: DataFrame, queries: DataFrame, n_docs: int, k: int, k1: float = K1, b: float = B) -> DataFrame:
-    """BM25 from stored postings; documents without terms count in the number and mean length only."""
+def bm25_postings(index: DataFrame, queries: DataFrame, n_docs: int, k: int, k1: float = K1, b: float = B, few: bool = True) -> DataFrame:
+    """BM25 from stored postings; documents without terms count in the number and mean length only.
+
+    A few queries are broadcast; a table of them (few=False) is joined by term.
+    """
+    sent = F.broadcast if few else lambda df: df
     lengths = index.groupBy("id").agg(F.sum("tf").alias("dl"))
     words = index.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
     if not n_docs or not words:
         return index.sparkSession.createDataFrame([], "query string, id long, score double, place int")
-    tf = index.join(F.broadcast(queries.select("term").distinct()), "term", "left_semi").join(lengths, "id")
+    tf = index.join(sent(queries.select("term").distinct()), "term", "left_semi").join(lengths, "id")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.ln((F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     asked = queries.select("query", "term").distinct().join(df, "term").select("query", "term", idf.alias("idf"))
     scale = k1 * (1 - b + b * F.col("dl") / F.lit(words / n_docs))
-    scores = tf.join(F.broadcast(asked), "term").groupBy("query", "id").agg(F.sum(F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + scale)).alias("score"))
+    scores = tf.join(sent(asked), "term").groupBy("query", "id").agg(F.sum(F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + scale)).alias("score"))
     return rank(scores, k)
 
 

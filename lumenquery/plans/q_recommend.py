@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumenquery.operators import recommend as C, sequences as Q
 from lumenquery.plans.registry import query
-from lumenquery.session import epoch_seconds, table
+from lumenquery.session import cut, epoch_seconds, table
 
 _BOUGHT = "bought AS (SELECT DISTINCT o_custkey AS u, l_partkey AS i FROM orders JOIN lineitem ON o_orderkey = l_orderkey), cnt AS (SELECT i, count(*) AS buyers FROM bought GROUP BY i)"
 _PAIRS = f"""{_BOUGHT}, few AS (SELECT u FROM bought GROUP BY u HAVING count(*) <= 50), kept AS (SELECT * FROM bought WHERE u IN (SELECT u FROM few)),
@@ -153,10 +153,10 @@ def phrase_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as phrases, documents as tracks, BM25 as the score."""
     from lumenquery.operators import text_index as X
 
-    docs = X.tokenised(table(spark, sf_dir, "documents"), "doc_id", "text", None)
-    turns = table(spark, sf_dir, "conversations").where("conv_id < 4 AND role = 'user'").select("conv_id", "turn", "text").orderBy("conv_id", "turn").limit(12).collect()
-    asked = X.query_terms(spark, {f"{r.conv_id}:{r.turn}": r.text for r in turns})
-    hits = X.bm25(docs, asked, 5)
+    docs = table(spark, sf_dir, "documents")
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("phrase"), "text")
+    asked = cut(X.postings(turns, "phrase", "text").withColumnRenamed("id", "query"))
+    hits = X.bm25_postings(cut(X.postings(docs, "doc_id", "text")), asked, docs.count(), 5, few=False)
     words = asked.groupBy("query").agg(F.sum("tf").cast("int").alias("words"))
     rows = hits.join(words, "query").where("words >= 3")
     part = F.split("query", ":")

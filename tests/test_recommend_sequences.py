@@ -1,4 +1,6 @@
 import math
+import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -93,6 +95,36 @@ def test_phrase_votes(spark):
     assert out["q"].track == "A" and out["q"].accepted and out["q"].votes == 3.0 and not out["r"].accepted
 
 
+def test_phrase_votes_of_all_conversations(spark, tmp_path):
+    from lumenquery.plans.q_recommend import phrase_votes
+
+    rng = random.Random(3)
+    words = [f"word{x}" for x in "abcdefghijklmnop"]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randrange(8, 20)))) for i in range(6)]
+    turns = [(c, t, "assistant" if t % 2 else "user", " ".join(rng.sample(words, 5))) for c in range(9) for t in range(4)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    bags = {i: Counter(t.split()) for i, t in docs}
+    mean = sum(sum(b.values()) for b in bags.values()) / len(bags)
+    df = Counter(w for b in bags.values() for w in b)
+    idf = {w: math.log((len(bags) - n + 0.5) / (n + 0.5) + 1) for w, n in df.items()}
+    ranked = defaultdict(list)
+    for c, _, role, text in turns:
+        scores = {i: sum(idf[w] * b[w] * 2.5 / (b[w] + 1.5 * (0.25 + 0.75 * sum(b.values()) / mean)) for w in text.split() if w in b) for i, b in bags.items()}
+        if role == "user":
+            ranked[c].append(sorted(((s, i) for i, s in scores.items() if s > 0), key=lambda x: (-x[0], x[1]))[:5])
+    want = {}
+    for c, phrases in ranked.items():
+        votes = Counter()
+        for p in phrases:
+            for s, i in p:
+                votes[i] += s / max(q[0][0] for q in phrases if q)
+        want[str(c)] = max(votes.items(), key=lambda x: (x[1], -x[0]))
+    got = {r["query"]: (r.track, r.votes) for r in phrase_votes(spark, str(tmp_path)).collect()}
+    assert {q: t for q, (t, _) in got.items()} == {q: t for q, (t, _) in want.items()} and len(got) == 9
+    assert all(abs(got[q][1] - v) < 1e-9 for q, (_, v) in want.items())
+
+
 def test_warping():
     rng = np.random.default_rng(0)
     ref = np.abs(rng.normal(size=(60, 12)))
