@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lumenquery.session import cut
+from lumenquery.session import Scratch
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node it can reach.
 
     Edges are undirected; loops, repeats and nulls are ignored. Every round rewrites the edge set
-    with two aggregations and joins and cuts lineage, so nothing but two scalars per round reaches
-    the driver. The rounds needed grow with the logarithm of the longest path. An empty table gives
-    an empty result.
+    with two aggregations and joins and cuts lineage by a written table, the last of which stays in
+    the scratch folder for the result, so nothing but two scalars per round reaches the driver. The rounds needed grow with
+    the logarithm of the longest path. An empty table gives an empty result.
     """
+    scratch = scratch or Scratch(edges.sparkSession)
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
-    e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = scratch.store(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -27,7 +28,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         # small star: smaller neighbours and the node itself are linked to the least of them
         moved = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         nxt = moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct()
-        nxt = cut(nxt)
+        nxt = scratch.store(nxt)
+        scratch.free(e)
         state = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         e = nxt
         if state == seen:
