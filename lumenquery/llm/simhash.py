@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lumenquery.llm import golay
 from lumenquery.llm.frames import map_batches
 from lumenquery.operators.components import connected_components
-from lumenquery.session import cut
+from lumenquery.session import Scratch, cut, released_shuffles
 
 SEED = 42
 _BLOCK = 1 << 15  # shingles whose bits are counted at once
@@ -129,14 +129,16 @@ SEGMENTS = 41  # 23-bit segments of the words' fingerprint
 STEPS = (1, 5)  # a key holds the codewords of two segments this many places apart
 WORDS = 15  # 64-bit parts of the words' fingerprint
 GRAM_WORDS = 4  # and of the shingles'
-# Differing bits of 256 beyond which pairs are not compared: a similarity of 0.8 of the shingles is a
-# cosine of 0.89, of which 39 bits differ with a deviation of 6.
+# Bits of 256 by which two texts of a shared key may differ to be compared in the first pass: a
+# similarity of 0.8 of the shingles is a cosine of 0.89, of which 39 bits differ with a deviation of
+# 6. Only the cost depends on it and on HUBS, since a complete pass follows.
 FAR = 64
-HUBS = 6  # central members that a text is first compared with
-MIDDLE = 2  # central members of a crowded key that its texts are compared with
-CROWD = 8  # members of a key up to which all pairs of different components are compared
-SAMPLE = 20_000  # texts whose shingles are counted to put common ones last; only the cost depends on it
+HUBS = 6  # central members that a text is compared with in the first pass
+# Texts whose shingles are counted to put common ones last: a 64th, or this many if that is more.
+# Only the cost depends on it.
+SAMPLE = 20_000
 COMMON = 1 << 18  # most frequent shingles of them that are told to all tasks
+LOOKUP = 500_000  # texts up to this many are looked up by a broadcast of their hashes (8 bytes each)
 
 
 def _spread(h: np.ndarray, n: int) -> np.ndarray:
@@ -213,14 +215,17 @@ def _near(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(far <= FAR).select("a", "b")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
     """(src, dst) of the pairs whose shingle sets have the similarity."""
-    pairs = cut(pairs)
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = cut(map_batches(texts.join(needed, "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), _sets(width), "node long, grams array<int>"))
+    pairs = scratch.store(pairs)
+    needed = scratch.store(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+    asked = F.broadcast(needed) if needed.count() <= LOOKUP else needed
+    sets = scratch.store(map_batches(texts.join(asked, "node", "left_semi").dropDuplicates(["node"]).select("node", "text"), _sets(width), "node long, grams array<int>"))
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b").join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
     same = F.size(F.array_intersect("ga", "gb"))
-    return both.where(same >= similarity * (F.size("ga") + F.size("gb") - same)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    out = scratch.store(both.where(same >= similarity * (F.size("ga") + F.size("gb") - same)).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    scratch.free(pairs, needed, sets)
+    return out
 
 
 def _prefixes(width: int, similarity: float, common: np.ndarray, counts: np.ndarray):
@@ -239,7 +244,7 @@ def _prefixes(width: int, similarity: float, common: np.ndarray, counts: np.ndar
                     weight = np.where(common[at] == h, counts[at], 0)
                 sizes.append(len(h))
                 heads.append(h[np.lexsort((h, weight))][: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64))
-            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], names=["node", "size", "head"])
+            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64()))], names=["node", "size", "head"])
 
     return run
 
@@ -253,90 +258,87 @@ def _shingles(width: int):
     return run
 
 
-def _common_shingles(texts: DataFrame, roots: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _common_shingles(texts: DataFrame, roots: DataFrame, total: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles met twice or more in a sample of the texts (copies counted once), sorted, and their counts."""
-    spark = texts.sparkSession
-    total = texts.count()
-    picked = texts.where(F.pmod(F.xxhash64("node"), F.lit(max(1, total // SAMPLE))) == 0).dropDuplicates(["node"])
+    picked = texts.where(F.pmod(F.xxhash64("node"), F.lit(max(1, min(64, total // SAMPLE)))) == 0).dropDuplicates(["node"])
     picked = picked.join(roots.where("node <> component").select("node"), "node", "left_anti").select("text")
     found = map_batches(picked, _shingles(width), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = found.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    with released_shuffles(texts.sparkSession):
+        rows = found.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     h = np.asarray(rows.column("h")).view(np.uint64)
     order = np.argsort(h)
     return h[order], np.asarray(rows.column("n"))[order]
 
 
-def prefix_pairs(texts: DataFrame, roots: DataFrame, width: int, similarity: float) -> DataFrame:
+def prefix_pairs(texts: DataFrame, roots: DataFrame, total: int, width: int, similarity: float, scratch: Scratch) -> DataFrame:
     """(a, b): every pair of (node, text) rows that may have the similarity, but those of one component.
 
     A complete filter: in any one order of all shingles, two sets of Jaccard similarity t share one
     among the first |x| - ceil(2t / (1 + t) |x|) + 1 of the smaller and the first |y| - ceil(t |y|) + 1
     of the larger, and what follows the first shared one bounds the overlap. The order puts shingles
-    that are common in a sample last, so that form letters meet by what sets them apart.
+    that are common in a sample last, so that form letters meet by what sets them apart. Shingles that
+    only one component has are dropped before anything is joined.
     """
-    common, counts = _common_shingles(texts, roots, width)
-    heads = map_batches(texts, _prefixes(width, similarity, common, counts), "node long, size long, head array<long>").dropDuplicates(["node"])
-    heads = heads.join(roots, "node", "left").select("node", "size", "head", F.coalesce("component", "node").alias("c"))
-    posted = heads.select("node", "size", "c", F.posexplode("head").alias("place", "key")).repartition("key")
-    split = posted.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    mixed = cut(posted.join(split, "key"))
+    common, counts = _common_shingles(texts, roots, total, width)
+    heads = map_batches(texts, _prefixes(width, similarity, common, counts), "node long, size int, head array<long>").dropDuplicates(["node"])
+    heads = scratch.store(heads.join(roots, "node", "left").select("node", "size", "head", F.coalesce("component", "node").alias("c")))
+    shared = heads.select("c", F.explode("head").alias("key")).groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    shared = scratch.store(shared)
+    posted = heads.select("node", "size", "c", F.posexplode("head").alias("place", "key"))
+    mixed = scratch.store(posted.join(F.broadcast(shared) if shared.count() <= LOOKUP else shared, "key"))
     x, y = (mixed.select("key", *[F.col(k).alias(f"{k}_{side}") for k in ("node", "size", "place", "c")]) for side in "xy")
     x = x.where(F.col("place_x") <= F.col("size_x") - F.ceil(2 * similarity / (1 + similarity) * F.col("size_x") - 1e-9))
     ordered = (F.col("size_x") < F.col("size_y")) | ((F.col("size_x") == F.col("size_y")) & (F.col("node_x") < F.col("node_y")))
     long_enough = F.col("size_x") >= similarity * F.col("size_y") - 1e-6
     enough = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) >= similarity / (1 + similarity) * (F.col("size_x") + F.col("size_y")) - 1e-6
     met = x.join(y, (x["key"] == y["key"]) & (F.col("c_x") != F.col("c_y")) & ordered & long_enough & enough)
-    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    out = scratch.store(met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct())
+    scratch.free(heads, shared, mixed)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per distinct (id, text): id, h1, h2 (see text_keys), c1, c2 (its component), copies (rows).
 
     Components join texts whose sets of `width`-word shingles have the Jaccard similarity; equal
-    texts, and all texts without words, are one class before anything is joined. Candidate pairs
-    share the Golay codewords of two segments of their wide fingerprints. Every text is first
-    compared with the most central members of its keys, those that share most keys with most texts:
-    in a group of copies they are the least changed, so nearly all that is linked to anything is
-    linked to them. What this leaves in different components is then compared pair by pair within
-    each key; in keys of more than CROWD members, with the most
-    central of each of MIDDLE parts of the key. These two passes only save work: what they leave in
-    different components is compared wherever `prefix_pairs` allows the similarity at all.
+    texts, and all texts without words, are one class before anything is joined. Two passes propose
+    pairs and the sets decide. First, texts that share the Golay codewords of two segments of their
+    wide fingerprints: every text is compared with the most central members of its keys, those that
+    share most keys with most texts; in a group of copies they are the least changed, so nearly all
+    that is linked to anything is linked to them. Then whatever is left in different components is
+    compared wherever `prefix_pairs` allows the similarity at all, so no link is lost. Tables of
+    intermediate rows are deleted as soon as they are used. Null ids and texts, repeated rows, empty
+    tables and other columns of any name are allowed.
     """
+    scratch = Scratch(docs.sparkSession)
     h1, h2 = text_keys(F.col(text_col))
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("id"), h1.alias("h1"), h2.alias("h2"), F.col(text_col).alias("text"))
-    marks = cut(map_batches(slim, _signatures(width), f"id {kind}, h1 long, h2 long, " + ", ".join(f"{c} long" for c in _MARKS)))
-    classes = cut(marks.where("h1 <> 0 OR h2 <> 0").groupBy(F.col("h1").alias("node"), "h2").agg(*[F.min(c).alias(c) for c in _MARKS]))
+    marks = scratch.store(map_batches(slim, _signatures(width), f"id {kind}, h1 long, h2 long, " + ", ".join(f"{c} long" for c in _MARKS)))
+    classes = scratch.store(marks.where("h1 <> 0 OR h2 <> 0").groupBy(F.col("h1").alias("node"), "h2").agg(*[F.min(c).alias(c) for c in _MARKS]))
     texts = slim.select(F.col("h1").alias("node"), "text")
     # dealt by key once, for the counts and for the join with them
     keyed = _key_rows(classes).repartition("key")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a"), F.max("node").alias("z")).where("n > 1 AND a <> z").select("key", "n")
-    members = cut(keyed.join(shared, "key").select("key", "node", "n"))
+    members = scratch.store(keyed.join(shared, "key").select("key", "node", "n"))
     central = members.groupBy("node").agg(F.sum("n").alias("weight"))
     weighed = members.join(central, "node")
     hubs = weighed.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("hub"))
     offers = weighed.join(hubs, "key").where("node <> hub.node").select("node", F.col("hub.node").alias("x"), F.col("hub.weight").alias("w")).distinct()
     best = offers.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("w"), "x"))).where(F.col("nth") <= HUBS)
-    tried = cut(best.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct())
-    first = cut(_verified(_near(tried, classes), texts, width, similarity))
-    roots = cut(connected_components(first))
-    placed = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    mixed = cut(placed.join(split, "key"))
-    few = mixed.where(F.col("n") <= CROWD)
-    cross = few.select("key", F.col("node").alias("a"), F.col("c").alias("ca")).join(few.select("key", F.col("node").alias("b"), F.col("c").alias("cb")), "key").where("a < b AND ca <> cb").select("a", "b")
-    many = mixed.where(F.col("n") > CROWD)
-    middle = many.join(central, "node").groupBy("key", F.pmod("node", F.lit(MIDDLE))).agg(F.max(F.struct("weight", "node", "c")).alias("hub")).select("key", "hub")
-    star = many.join(middle, "key").where("c <> hub.c").select(F.least("node", F.col("hub.node")).alias("a"), F.greatest("node", F.col("hub.node")).alias("b"))
-    rest = cross.unionByName(star).distinct().join(tried, ["a", "b"], "left_anti")
-    second = cut(first.unionByName(_verified(_near(rest, classes), texts, width, similarity)))
-    roots = cut(connected_components(second))
-    last = prefix_pairs(texts.where("node <> 0"), roots, width, similarity)
-    third = _verified(last, texts, width, similarity)
-    final = connected_components(second.unionByName(third))
+    tried = scratch.store(best.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct())
+    scratch.free(members)
+    first = _verified(_near(tried, classes), texts, width, similarity, scratch)
+    roots = connected_components(first, scratch=scratch)
+    pairs = prefix_pairs(texts.where("node <> 0"), roots, classes.count(), width, similarity, scratch)
+    second = _verified(pairs, texts, width, similarity, scratch)
+    final = connected_components(first.unionByName(second), scratch=scratch)
     rows = marks.groupBy("id", "h1", "h2").agg(F.count(F.lit(1)).alias("copies"))
     joined = rows.join(final, rows.h1 == final.node, "left")
-    return joined.select("id", "h1", "h2", F.coalesce("component", "h1").alias("c1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("c2"), "copies")
+    out = joined.select("id", "h1", "h2", F.coalesce("component", "h1").alias("c1"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(F.lit(0)).alias("c2"), "copies")
+    kept = Scratch(docs.sparkSession).store(out)
+    scratch.close()
+    return kept
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -345,7 +347,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Columns stay as they are. A null id is less than all others. Rows equal in id and text are one
     document and one of them stays.
     """
-    groups = cut(near_duplicates(docs, id_col, text_col, width, similarity))
+    groups = near_duplicates(docs, id_col, text_col, width, similarity)
     place = F.struct(F.col("id").isNotNull().alias("known"), F.col("id"), F.col("h1"), F.col("h2"))
     kept = groups.groupBy("c1", "c2").agg(F.min(place).alias("p")).select(F.col("p.id").alias("__id"), F.col("p.h1").alias("__h1"), F.col("p.h2").alias("__h2"))
     h1, h2 = text_keys(F.col(text_col))
