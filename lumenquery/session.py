@@ -122,7 +122,7 @@ class Scratch:
         """The rows of df from a written table; shuffle files of the work that made them go at once."""
         path = f"{self.folder}/{len(self._paths)}-{uuid.uuid4().hex[:8]}"
         with released_shuffles(self.spark):
-            df.write.parquet(path)
+            df.write.option("compression", "none").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = (out, path)
         return out
