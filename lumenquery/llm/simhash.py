@@ -138,6 +138,7 @@ HUBS = 6  # central members that a text is compared with in the first pass
 # Only the cost depends on it.
 SAMPLE = 20_000
 COMMON = 1 << 18  # most frequent shingles of them that are told to all tasks
+EARLIER = 4  # shingles before a shared one by which repeated meetings of two texts are told; only the cost depends on it
 LOOKUP = 500_000  # texts up to this many are looked up by a broadcast of their hashes (8 bytes each)
 
 
@@ -277,7 +278,8 @@ def prefix_pairs(texts: DataFrame, roots: DataFrame, total: int, width: int, sim
     among the first |x| - ceil(2t / (1 + t) |x|) + 1 of the smaller and the first |y| - ceil(t |y|) + 1
     of the larger, and what follows the first shared one bounds the overlap. The order puts shingles
     that are common in a sample last, so that form letters meet by what sets them apart. Shingles that
-    only one component has are dropped before anything is joined.
+    only one component has are dropped before anything is joined. Two texts that share one of the
+    last EARLIER shingles before the one they meet by have met before, where both bounds hold too.
     """
     common, counts = _common_shingles(texts, roots, total, width)
     heads = map_batches(texts, _prefixes(width, similarity, common, counts), "node long, size int, head array<long>").dropDuplicates(["node"])
@@ -285,13 +287,16 @@ def prefix_pairs(texts: DataFrame, roots: DataFrame, total: int, width: int, sim
     shared = heads.select("c", F.explode("head").alias("key")).groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
     shared = scratch.store(shared)
     posted = heads.select("node", "size", "c", F.posexplode("head").alias("place", "key"))
-    mixed = scratch.store(posted.join(F.broadcast(shared) if shared.count() <= LOOKUP else shared, "key"))
-    x, y = (mixed.select("key", *[F.col(k).alias(f"{k}_{side}") for k in ("node", "size", "place", "c")]) for side in "xy")
+    met_by = posted.join(F.broadcast(shared) if shared.count() <= LOOKUP else shared, "key")
+    before = F.collect_list("key").over(Window.partitionBy("node").orderBy("place").rowsBetween(-EARLIER, -1))
+    mixed = scratch.store(met_by.withColumn("before", before))
+    x, y = (mixed.select("key", *[F.col(k).alias(f"{k}_{side}") for k in ("node", "size", "place", "c", "before")]) for side in "xy")
     x = x.where(F.col("place_x") <= F.col("size_x") - F.ceil(2 * similarity / (1 + similarity) * F.col("size_x") - 1e-9))
     ordered = (F.col("size_x") < F.col("size_y")) | ((F.col("size_x") == F.col("size_y")) & (F.col("node_x") < F.col("node_y")))
     long_enough = F.col("size_x") >= similarity * F.col("size_y") - 1e-6
     enough = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) >= similarity / (1 + similarity) * (F.col("size_x") + F.col("size_y")) - 1e-6
-    met = x.join(y, (x["key"] == y["key"]) & (F.col("c_x") != F.col("c_y")) & ordered & long_enough & enough)
+    fresh = ~F.arrays_overlap("before_x", "before_y")
+    met = x.join(y, (x["key"] == y["key"]) & (F.col("c_x") != F.col("c_y")) & ordered & long_enough & enough & fresh)
     out = scratch.store(met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct())
     scratch.free(heads, shared, mixed)
     return out
