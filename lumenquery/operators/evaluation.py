@@ -6,7 +6,6 @@ import hashlib
 import json
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenquery.functions.spatial import METERS_PER_DEGREE
@@ -70,29 +69,39 @@ def log_scaled(value: Column, low: float, high: float, least: int = 5, most: int
     return F.bround(least + (most - least) * F.least(F.lit(1.0), t)).cast("int")
 
 
-def expanded(x: np.ndarray, size: int, seed: int = 42) -> np.ndarray:
-    """A collection grown to a size by mixes of near rows with a little noise, keeping zeros where both have them."""
-    if size <= len(x):
-        return x[:size].copy()
-    rng = np.random.default_rng(seed)
-    n = size - len(x)
-    a = rng.integers(0, len(x), n)
-    b = (a + rng.integers(1, min(15, max(2, len(x))), n)) % len(x)
-    mix = rng.uniform(0.75, 0.96, (n, 1))
-    fresh = np.clip(mix * x[a] + (1 - mix) * x[b] + rng.normal(scale=x.std() * 0.04, size=(n, x.shape[1])), 0, None)
-    return np.vstack([x, np.where((x[a] > 0) | (x[b] > 0), fresh, 0)])
+def grown(df: DataFrame, key: str, vec_col: str, times: int, pull: float = 0.2, noise: float = 0.02, seed: int = 42) -> DataFrame:
+    """(key, copy, vector): every vector, and times - 1 relatives of each for tests of scale.
+
+    A relative lies up to `pull` of the way to the vector that follows in hash order, with components
+    shaken by up to `noise` of their size, so zeros of both stay zeros. Chance is a hash of seed, key
+    and copy. Hash order is kept inside 256 hash buckets, so no single task sorts all rows.
+    """
+    chance = lambda *parts: F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 30)) / float(1 << 30)
+    mark = F.xxhash64(F.lit(seed), F.col(key))
+    order = Window.partitionBy(F.pmod(mark, F.lit(256))).orderBy(mark, key)
+    rows = df.select(F.col(key), F.col(vec_col).cast("array<double>").alias("__v")).withColumn("__n", F.coalesce(F.lead("__v").over(order), F.col("__v")))
+    copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    step = F.when(F.col("copy") == 0, 0.0).otherwise(pull * chance(F.col(key), F.col("copy")))
+    shake = lambda i: F.when(F.col("copy") == 0, 1.0).otherwise(1 + noise * (2 * chance(F.col(key), F.col("copy"), i) - 1))
+    mixed = F.transform(F.zip_with("__v", "__n", lambda a, b: a + F.col("__step") * (b - a)), lambda x, i: x * shake(i))
+    return copies.withColumn("__step", step).select(key, "copy", mixed.alias(vec_col))
 
 
-def gated(power: np.ndarray) -> np.ndarray:
-    """Gains of a power spectrogram (bins, frames) after taking off a steady noise floor.
+def noise_gains(power: Column) -> Column:
+    """Gains (bins of frames) that take a steady noise floor off a power spectrogram, an array of bins.
 
     The floor is the median of the upper quarter of the bins over ln 2; a fiftieth of the power stays.
+    Without a floor all gains are 1; cells without power have gain 0.
     """
-    floor = float(np.median(power[3 * len(power) // 4 :])) / math.log(2)
-    if floor <= 1e-12:
-        return np.ones_like(power)
-    kept = np.maximum(power - floor, 0.02 * power)
-    return np.sqrt(np.divide(kept, power, out=np.zeros_like(power), where=power > 0))
+    upper = F.array_sort(F.flatten(F.slice(power, F.floor(3 * F.size(power) / 4).cast("int") + 1, F.size(power))))
+    n = F.size(upper)
+    middle = (F.element_at(upper, (F.floor((n + 1) / 2)).cast("int")) + F.element_at(upper, (F.floor((n + 2) / 2)).cast("int"))) / 2
+    floor = F.when(n > 0, middle).otherwise(0.0) / math.log(2)
+
+    def gain(p):
+        return F.when(floor <= 1e-12, 1.0).when(p <= 0, 0.0).otherwise(F.sqrt(F.greatest(p - floor, 0.02 * p) / p))
+
+    return F.transform(power, lambda frames: F.transform(frames, gain))
 
 
 class PurchaseConflict(ValueError):

@@ -104,19 +104,35 @@ def curation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.curated(table(spark, sf_dir, "part"), "p_type", "p_brand", "p_name", "p_size", "p_partkey", 120).select("p_partkey", "p_type", "place")
 
 
-@query("alignment_votes")
+@query("alignment_votes", """WITH h AS (SELECT user_id, event_type, fmod(epoch_us(ts) / 1000000.0::DOUBLE - 1704067200, 600) AS q, fmod(epoch_us(ts) / 1000000.0::DOUBLE - 1704067200, 600) + floor(value / 40) AS o, 1 / (1 + value) AS sim FROM events),
+    t AS (SELECT *, o - v * q AS off FROM h, (VALUES (0.95::DOUBLE), (1.0), (1.05)) s(v)),
+    w AS (SELECT a.user_id, a.event_type, a.v, a.off AS opened, b.q, b.sim, b.off, row_number() OVER (PARTITION BY a.user_id, a.event_type, a.v, a.off, b.q ORDER BY b.sim DESC, b.off) AS n
+          FROM (SELECT DISTINCT user_id, event_type, v, off FROM t) a JOIN t b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.v = b.v AND b.off >= a.off AND b.off <= a.off + 4),
+    c AS (SELECT user_id, event_type, v, opened, count(*) AS votes, round(avg(sim), 9) AS sim, median(off) AS offset_s, min(q) AS first_s, max(q) AS last_s FROM w WHERE n = 1 GROUP BY ALL HAVING count(*) >= 2 AND max(q) - min(q) >= 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY votes DESC, sim DESC, round(abs(1 - v), 9), v, opened) AS place FROM c)
+    SELECT user_id, event_type, CAST(votes AS INT) AS votes, sim AS similarity, v AS speed, round(offset_s, 6) AS offset_s, round(first_s, 6) AS first_s, round(last_s, 6) AS last_s FROM r WHERE place = 1""")
 def alignment_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-dependent votes over events: tests hold them against a plain model."""
     e = table(spark, sf_dir, "events").withColumn("s", epoch_seconds("ts") - 1704067200)
     hits = e.select("user_id", "event_type", F.pmod("s", F.lit(600.0)).alias("query_s"), (F.pmod("s", F.lit(600.0)) + F.floor(F.col("value") / 40)).alias("original_s"), (1 / (1 + F.col("value"))).alias("similarity"))
-    return Q.alignment_votes(hits, ["user_id", "event_type"], tolerance=2.0)
-
-
-@query("merged_events")
+    found = Q.alignment_votes(hits, ["user_id", "event_type"], tolerance=2.0)
+    return found.select("user_id", "event_type", "votes", "similarity", "speed", *[F.round(c, 6).alias(n) for c, n in (("offset", "offset_s"), ("first_s", "first_s"), ("last_s", "last_s"))])
+
+
+@query("merged_events", """WITH RECURSIVE s AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0::DOUBLE - 1704067200 AS start_s, value FROM events),
+    e AS (SELECT user_id, start_s, start_s + 43200 AS end_s, value / 100 AS off, CASE WHEN event_id % 3 = 0 THEN 1.0 ELSE 1.05 END::DOUBLE AS speed, 1 / (1 + value) AS sim, [floor(start_s / 1800)::DOUBLE, floor(start_s / 1800)::DOUBLE + 1] AS inst FROM s),
+    o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY start_s, end_s, off, speed, sim) AS n FROM e),
+    f(user_id, n, acc) AS (SELECT user_id, n, [{'start_s': start_s, 'end_s': end_s, 'off': off, 'speed': speed, 'sim': sim, 'inst': inst}] FROM o WHERE n = 1
+      UNION ALL SELECT user_id, n, CASE WHEN hit IS NULL THEN list_append(acc, {'start_s': start_s, 'end_s': end_s, 'off': off, 'speed': speed, 'sim': sim, 'inst': inst}) ELSE list_transform(acc, lambda x, i: CASE WHEN i = hit THEN
+        {'start_s': x.start_s, 'end_s': greatest(x.end_s, end_s), 'off': x.off, 'speed': x.speed, 'sim': (x.sim * len(x.inst) + sim * (len(list_distinct(list_concat(x.inst, inst))) - len(x.inst))) / len(list_distinct(list_concat(x.inst, inst))), 'inst': list_distinct(list_concat(x.inst, inst))} ELSE x END) END
+        FROM (SELECT o.*, f.acc, list_max(list_transform(f.acc, lambda x, i: CASE WHEN o.start_s <= x.end_s + 3600 AND abs(x.speed - o.speed) <= 0.051 AND abs(x.off - o.off) <= 1 THEN i END)) AS hit FROM f JOIN o ON f.user_id = o.user_id AND o.n = f.n + 1)),
+    l AS (SELECT user_id, unnest(acc) AS x FROM f QUALIFY n = max(n) OVER (PARTITION BY user_id))
+    SELECT user_id, round(x.start_s, 3) AS start_s, round(x.end_s, 3) AS end_s, x.speed AS speed, round(x.off, 9) AS off, round(x.sim, 9) AS similarity, CAST(len(x.inst) AS INT) AS votes FROM l""")
 def merged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("s", epoch_seconds("ts"))
-    spans = e.select("user_id", F.col("s").alias("start_s"), (F.col("s") + 3600).alias("end_s"), F.lit(1.0).alias("speed"), (F.col("value") / 100).alias("offset"), F.lit(0.5).alias("similarity"), F.lit(1.0).alias("votes"))
-    return Q.merge_events(spans, "user_id", step=600.0, tolerance=0.5)
+    e = table(spark, sf_dir, "events").withColumn("s", epoch_seconds("ts") - 1704067200)
+    at = F.floor(F.col("s") / 1800).cast("double")
+    spans = e.select("user_id", F.col("s").alias("start_s"), (F.col("s") + 43200).alias("end_s"), F.when(F.col("event_id") % 3 == 0, 1.0).otherwise(1.05).alias("speed"), (F.col("value") / 100).alias("offset"), (1 / (1 + F.col("value"))).alias("similarity"), F.array(at, at + 1).alias("instants"))
+    found = Q.merge_events(spans, "user_id", step=3600.0, tolerance=0.5)
+    return found.select("user_id", F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"), "speed", F.round("offset", 9).alias("off"), F.round("similarity", 9).alias("similarity"), "votes")
 
 
 @query("free_spans", """WITH c AS (SELECT user_id, epoch_us(ts) / 1000000.0::DOUBLE - 1704067200 AS s, epoch_us(ts) / 1000000.0::DOUBLE - 1704067200 + 7200 AS e FROM events WHERE event_type = 'view'), w AS (SELECT DISTINCT user_id, 0.0 AS w0, 604800.0 AS w1 FROM events),

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -28,15 +30,25 @@ def test_log_scale(spark):
     assert tuple(row) == (5, 40, 22, 5)
 
 
-def test_expanded_and_gated():
-    x = np.abs(np.random.default_rng(0).normal(size=(20, 8))) * (np.arange(8) % 2)
-    y = V.expanded(x, 50)
-    assert y.shape == (50, 8) and (y[:20] == x).all() and (y[:, ::2] == 0).all() and (y >= 0).all()
-    power = np.ones((8, 10))
-    power[0] = 100
-    gain = V.gated(power)
-    assert gain[0].min() > 0.9 and gain[-1].max() < 0.2 and (V.gated(np.zeros((8, 3))) == 1).all()
+def test_grown(spark):
+    df = spark.createDataFrame([(i, [float(i), 0.0, 1.0]) for i in range(40)], "k long, v array<double>")
+    out = V.grown(df, "k", "v", 3).collect()
+    assert len(out) == 120 and len({(r.k, r["copy"]) for r in out}) == 120
+    assert all(r.v == [float(r.k), 0.0, 1.0] for r in out if r["copy"] == 0) and all(r.v[1] == 0 for r in out)
+    assert len({tuple(r.v) for r in out}) > 100 and out == V.grown(df, "k", "v", 3).collect()
+    assert V.grown(df.limit(0), "k", "v", 3).count() == 0
+
 
+def test_noise_gains(spark):
+    rng = np.random.default_rng(0)
+    floor = rng.exponential(1.0, (16, 200))  # power of white noise
+    floor[0] += 100
+    rows = spark.createDataFrame([(floor.tolist(),), (np.zeros((8, 3)).tolist(),), ([],)], "p array<array<double>>")
+    got = [r.g for r in rows.select(V.noise_gains(F.col("p")).alias("g")).collect()]
+    mean = np.median(floor[12:]) / math.log(2)
+    want = np.sqrt(np.maximum(floor - mean, 0.02 * floor) / floor)
+    assert np.allclose(got[0], want) and want[0].min() > 0.9 and np.median(want[-1]) < 0.2
+    assert (np.array(got[1]) == 1).all() and got[2] == []
 
 def test_purchase(spark):
     ops = spark.createDataFrame([], "request string, user int, signature string, answer string")

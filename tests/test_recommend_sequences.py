@@ -60,20 +60,54 @@ def test_curation(spark):
     assert [r.t for r in C.longest_prefix(paths, "p", {("a",): "A", ("a", "b"): "AB"}, "t").collect()] == ["AB", "A"]
 
 
+HITS = "track string, query_s double, original_s double, similarity double"
+
+
 def test_alignment(spark):
-    hits = [(t / 2, 12 + 1.05 * t / 2, 0.9) for t in range(8)] + [(0.0, 12.1, 0.5)]
-    best = Q.align_hits(hits, 0.05)[0]
-    assert best["votes"] == 8 and best["speed"] == 1.05 and abs(best["offset"] - 12) < 1e-6
-    assert Q.align_hits([(0.0, 5.0, 1.0), (0.0, 5.1, 1.0)], 0.3) == []
-    df = spark.createDataFrame([("A", *h) for h in hits] + [("B", 1.0, 1.0, 1.0)], "track string, query_s double, original_s double, similarity double")
-    out = Q.alignment_votes(df.coalesce(1), ["track"], 0.05).collect()
-    assert [(r.track, r.votes) for r in out] == [("A", 8)]
+    line = [("A", t / 2, 12 + 1.05 * t / 2, 0.9) for t in range(8)]
+    again = [("A", 0.0, 12.1, 0.5)]  # an instant votes once, by its most similar hit
+    alone = [("B", 1.0, 1.0, 1.0), ("C", 0.0, 5.0, 1.0), ("C", 0.0, 5.1, 1.0)]
+    apart = [("D", float(t), 100.0 * t, 0.9) for t in range(6)]
+    dull = [("E", float(t), float(t), 0.1) for t in range(6)]
+    df = spark.createDataFrame(line + again + alone + apart + dull, HITS)
+    rows = Q.alignment_votes(df, ["track"], 0.05, threshold=0.3).collect()
+    assert [(r.track, r.votes, r.speed) for r in rows] == [("A", 8, 1.05)]
+    assert abs(rows[0].offset - 12) < 1e-6 and rows[0].instants == [t / 2 for t in range(8)]
+    assert Q.alignment_votes(df.limit(0), ["track"]).count() == 0
+
+
+def plain_alignment(rows, tolerance, speeds=Q.SPEEDS):
+    best = None
+    for v in speeds:
+        for _, q0, o0, _ in rows:
+            low, voters = o0 - v * q0, {}
+            for _, q, o, s in rows:
+                if low <= o - v * q <= low + 2 * tolerance:
+                    voters[q] = min(voters.get(q, (9, 9)), (-s, o - v * q))
+            if len(voters) >= 2 and max(voters) - min(voters) >= 1:
+                mean = round(-sum(s for s, _ in voters.values()) / len(voters), 9)
+                best = max(best or (0,), (len(voters), mean, round(-abs(1 - v), 9), -v, -low, float(np.median([o for _, o in voters.values()]))))
+    return best
+
+
+def test_alignment_equals_plain_model(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("XYZ"), float(rng.randrange(12)), rng.randrange(60) / 4, rng.randrange(1, 9) / 8) for _ in range(160)]
+    got = {r.track: r for r in Q.alignment_votes(spark.createDataFrame(rows, HITS), ["track"], 0.5).collect()}
+    for track in "XYZ":
+        want, r = plain_alignment([x for x in rows if x[0] == track], 0.5), got[track]
+        assert (r.votes, r.similarity, r.speed) == (want[0], want[1], -want[3]) and abs(r.offset - want[5]) < 1e-9
 
 
 def test_merge_events(spark):
-    rows = [("A", 0.0, 4.0, 1.0, 10.0, 0.8, 4.0), ("A", 4.3, 10.0, 1.05, 10.1, 0.6, 4.0), ("A", 10.0, 12.0, 1.0, 50.0, 0.5, 2.0), ("B", 1.0, 2.0, 1.0, 0.0, 0.5, 2.0)]
-    out = Q.merge_events(spark.createDataFrame(rows, "t string, start_s double, end_s double, speed double, offset double, similarity double, votes double"), "t").orderBy("t", "start_s").collect()
-    assert [(r.t, r.start_s, r.end_s, round(r.similarity, 3)) for r in out] == [("A", 0, 10, 0.7), ("A", 10, 12, 0.5), ("B", 1, 2, 0.5)]
+    kinds = "t string, start_s double, end_s double, speed double, offset double, similarity double, instants array<double>"
+    rows = [
+        ("A", 0.0, 4.0, 1.0, 10.0, 0.8, [0.0, 1.0, 2.0, 3.0]), ("A", 4.3, 10.0, 1.05, 10.1, 0.6, [3.0, 4.0, 5.0, 6.0, 7.0]),
+        ("A", 10.0, 12.0, 1.0, 50.0, 0.5, [10.0, 11.0]), ("A", 10.2, 11.0, 1.0, 10.0, 0.1, [3.0]), ("B", 1.0, 2.0, 1.0, 0.0, 0.5, [1.0, 2.0]),
+    ]
+    out = Q.merge_events(spark.createDataFrame(rows, kinds), "t").orderBy("t", "start_s").collect()
+    # instant 3 is shared, so four of the second event's five instants are new, and none of the fourth's
+    assert [(r.t, r.start_s, r.end_s, round(r.similarity, 3), r.votes) for r in out] == [("A", 0, 11, 0.7, 8), ("A", 10, 12, 0.5, 2), ("B", 1, 2, 0.5, 2)]
 
 
 def test_free_spans(spark):
@@ -143,6 +177,38 @@ def test_warping():
     assert abs(Q.sequence_score(q, r) - best) < 1e-9
 
 
+def test_best_sequence_finds_place_and_speed(spark):
+    rng = np.random.default_rng(2)
+    ref = rng.normal(size=(120, 6)).cumsum(axis=0)
+    at = 1.05 * np.arange(29, 66)  # on the grid that the reference is sampled at
+    fast = ref[at.astype(int)] + (at - at.astype(int))[:, None] * (ref[at.astype(int) + 1] - ref[at.astype(int)])
+    found = Q.best_sequence(fast, ref)
+    assert found["speed"] == 1.05 and abs(found["place"] - 29 * 1.05) < 1e-9 and found["score"] > 0.99
+    pair = lambda name, x: spark.createDataFrame([(1, "k", x.tolist())], f"{'query_id' if name == 'q' else 'ref_id'} long, key string, {name}_frames array<array<double>>")
+    assert [r.speed for r in Q.sequence_matches(pair("q", fast), pair("r", ref), "key").collect()] == [1.05]
+    assert Q.sequence_matches(pair("q", ref), pair("r", fast), "key").count() == 0
+
+
+def test_tonal_events_and_melody(spark):
+    rng = np.random.default_rng(5)
+    tones = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(np.abs(rng.normal(size=(n, 12))))
+    song, other, noise = tones(90), tones(90), tones(60)
+    query = np.vstack([np.roll(song[20:60], 2, axis=1), noise[:20]])
+    queries = spark.createDataFrame([(1, query.tolist())], "query_id long, q_frames array<array<double>>")
+    refs = spark.createDataFrame([("song", song.tolist()), ("other", other.tolist())], "track string, r_frames array<array<double>>")
+    hits = spark.createDataFrame([(1, t, float(s), 0.9) for t in ("song", "other") for s in range(3)] + [(1, "quiet", 0.0, 0.1)], "query_id long, track string, query_s double, similarity double")
+    candidates = Q.tonal_candidates(hits, 0.5)
+    assert sorted(r.track for r in candidates.collect()) == ["other", "song"]
+    none = spark.createDataFrame([], "query_id long, track string, start_s double, end_s double")
+    found = Q.tonal_events(queries, refs, candidates, none, hop=0.5).collect()
+    assert {r.track for r in found} == {"song"} and all(r.similarity >= 0.85 and r.semitones == 2 for r in found) and min(r.start_s for r in found) == 0
+    held = spark.createDataFrame([(1, "song", 0.0, 30.0)], none.schema)
+    assert Q.tonal_events(queries, refs, candidates, held, hop=0.5).count() == 0
+    pairs = queries.crossJoin(refs)
+    best = Q.melody_matches(pairs.withColumn("q_frames", F.slice("q_frames", 1, 40))).first()
+    assert best.track == "song" and best.accepted and best.similarity > 0.99
+
+
 def test_gap_groups(spark):
     df = spark.createDataFrame([("a", 0.0), ("a", 10.0), ("a", 21.0), ("b", 5.0)], "k string, t double")
     assert sorted((r.k, r.t, r.g) for r in Q.gap_groups(df, ["k"], "t", 10, "g").collect()) == [("a", 0.0, 1), ("a", 10.0, 1), ("a", 21.0, 2), ("b", 5.0, 1)]
