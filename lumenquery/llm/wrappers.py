@@ -1,12 +1,15 @@
 """Main text of web pages by wrappers inferred for each host.
 
-A page is a stream of tags and texts. Adjacent equal squares (an element and its like) fold into
-repeated groups. The folded streams of a few pages of a host are aligned one after the other: equal
-tags match, differing texts become slots, repeated groups are aligned inside, and what only one side
-has becomes an optional group. The result is a union-free regular expression. It tells which element
-holds the host's variable text (the region) and which texts of that region never vary (template).
-Every page is then read through its host's wrapper: the blocks of the region, without elements that
-name themselves as menus, adverts, forms, comments and the like, and without template texts.
+A page is a stream of tags and texts, nested by its tags. Adjacent like elements fold into repeated
+groups. The folded streams of a host are aligned one after the other, level by level: equal tags
+match and are aligned inside, differing texts become slots, and what only one side has becomes
+optional. The result is a union-free regular expression with, for every slot, how much text it held
+and whether that text ever varied. Alignment can be done in any grouping, so every task aligns the
+pages that it reads and the tasks' wrappers are aligned in a tree: all pages of a host take part.
+The wrapper then tells, once for the host, which of its parts hold the article: the region of the
+variable text, without parts that name themselves as menus, adverts, forms, comments and the like,
+and without parts at the region's edges whose text never varies. Every page is read by matching it
+against the wrapper and emitting the slots of those parts.
 """
 
 from __future__ import annotations
@@ -14,19 +17,22 @@ from __future__ import annotations
 import html
 import json
 import re
+import zlib
+from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lumenquery.llm.frames import map_batches, texts
-from lumenquery.session import cut
+from lumenquery.session import Scratch
 
-SAMPLE = 16  # pages of a host that its wrapper is inferred from at most
-LONGEST = 400  # folded items of a page that takes part in inference at most
 TEMPLATE_PAGES = 5  # different pages that must agree on a text before it counts as template
 BROADCAST_BYTES = 32_000_000  # wrappers up to this size travel to every task, more are joined
-BROADCAST_KEYS = 200_000  # sampled pages up to this many are looked up without moving any page, more are joined
-SQUARE = 40  # tokens of a square that is folded at most
+HELD_BYTES = 64_000_000  # wrappers that a task holds while it aligns; beyond, it hands them on and starts anew
+GROUPS = 64  # groups in which the tasks' wrappers of a host are aligned before the last alignment
+PERIOD = 8  # elements of a group that is found to repeat at most
+DEEPEST = 200  # levels of nesting that stay apart; what lies deeper is read as part of its ancestor there
+TABLE = 1 << 18  # cells up to which children are aligned by the full table, beyond by their longest common runs
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>"']++|"[^"]*"|'[^']*')*+)>|/?[a-zA-Z!?][^>]*>)""", re.DOTALL)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -37,12 +43,14 @@ ASIDE = frozenset("nav aside footer form button header menu dialog fieldset".spl
 INLINE = frozenset("a abbr b bdi bdo br cite code data dfn em font i ins del kbd label mark q s samp small span strong sub sup time tt u var wbr img".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _ASIDE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsored|sponsor|promo|banner|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|header|masthead|topbar|toolbar|pagination|pager|comments?|commentlist|disqus|replies|reviews|respond|share|sharing|social|"
-    r"related|recommended|recommendations|more|tags|widget|search|skip|hidden|complementary|contentinfo|toc)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsored|sponsor|promo|banner|cookies?|consent|gdpr|notices?|newsletter|subscribe|signup|login|"
+    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|header|masthead|topbar|toolbar|pagination|pager|comments?|commentlist|disqus|replies|respond)(?:$|[\s_-])",
     re.IGNORECASE,
 )
-_MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:main|article|articlebody|content|post|entry|story|body)(?:$|[\s_-])", re.IGNORECASE)
+# what an opening tag ends (HTML standard, fixed values)
+_ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_SCOPE = frozenset("ul ol dl table select".split())
 
 
 def _names(attrs: str) -> str:
@@ -88,318 +96,337 @@ def is_aside(name: str, names: str) -> bool:
     return name in ASIDE or bool(names and _ASIDE_NAME.search(names))
 
 
-# ---- inference: items are ["tag", "<p a>"], ["text", s, n], ["slot", chars], ["rep", items], ["opt", items]
+def tree(page: str) -> list:
+    """The page's root [key, children]: keys are "tag names", children texts (str) or elements; inline tags leave their text.
 
+    Open paragraphs, items and cells end where the HTML standard ends them; a closing tag without an
+    open element is left out.
+    """
+    root: list = ["", []]
+    stack = [root]
+    run: list[str] = []
+
+    def flush() -> None:
+        text = " ".join("".join(run).split())
+        run.clear()
+        if text:
+            stack[-1][1].append(text)
 
-def tokens(page: str) -> list[list]:
-    out = []
     for kind, name, value in stream(page):
         if kind == "t":
-            text = " ".join(html.unescape(value).split())
-            if text:
-                out.append(["text", text, 1])
-        elif name not in INLINE:
-            out.append(["tag", f"<{name} {value}" if kind == "o" else f"</{name}"])
-    return out
+            run.append(html.unescape(value))
+            continue
+        if name in INLINE:
+            if name == "br":
+                run.append(" ")
+            continue
+        flush()
+        if kind == "o":
+            if name in _ENDS_P and stack[-1][0].split(" ")[0] == "p":
+                stack.pop()
+            for back in range(len(stack) - 1, 0, -1):
+                tag = stack[back][0].split(" ")[0]
+                if tag in _ENDS.get(name, ()):
+                    del stack[back:]
+                elif tag in _SCOPE:
+                    break
+            element = [f"{name} {value}".rstrip(), []]
+            if len(stack) > DEEPEST:
+                element[1] = stack[-1][1]  # its texts are its ancestor's
+            else:
+                stack[-1][1].append(element)
+            if name not in VOID:
+                stack.append(element)
+        else:
+            for back in range(len(stack) - 1, 0, -1):
+                if stack[back][0].split(" ")[0] == name:
+                    del stack[back:]
+                    break
+    flush()
+    return root
 
 
-def _shape(items: list[list]) -> tuple:
-    return tuple(x[1] if x[0] == "tag" else "#" if x[0] in ("text", "slot") else (x[0], _shape(x[1])) for x in items)
-
-
-def _opens(item: list) -> str | None:
-    return item[1][1:].split(" ")[0] if item[0] == "tag" and not item[1].startswith("</") else None
-
-
-def _square_end(items: list[list], at: int) -> int | None:
-    """End of the shortest square at a place: from an opening tag to its closing one."""
-    name = _opens(items[at])
-    if name is None:
-        return None
-    depth = 0
-    for i in range(at, min(len(items), at + SQUARE)):
-        if _opens(items[i]) == name:
-            depth += 1
-        elif items[i] == ["tag", f"</{name}"]:
-            depth -= 1
-            if not depth:
-                return i + 1
-    return None
-
-
-def _blend(a: list[list], b: list[list]) -> list[list]:
-    """Two squares of one shape as one."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        if x[0] == "tag":
-            out.append(x)
-        elif x[0] in ("rep", "opt"):
-            out.append([x[0], _blend(x[1], y[1])])
-        elif x[0] == "text" and y[0] == "text" and x[1] == y[1]:
-            out.append(["text", x[1], min(x[2], y[2])])
-        else:
-            out.append(["slot", _chars(x) + _chars(y)])
-    return out
+# ---- inference: a wrapper item is [key, kids, many, optional, chars, text]; the key of texts is "#",
+# of repeated groups of several elements "(", joined keys. text is a slot's only text, None once it varied.
 
 
-def _chars(item: list) -> int:
-    return len(item[1]) if item[0] == "text" else item[1]
-
-
-def fold(items: list[list], known: frozenset = frozenset()) -> list[list]:
-    """Runs of squares of one shape as repeated groups, inner ones first; known shapes fold alone too."""
-    changed = True
-    while changed:
-        changed = False
-        out: list[list] = []
-        at = 0
-        while at < len(items):
-            end = _square_end(items, at)
-            if end is None:
-                out.append(items[at])
-                at += 1
-                continue
-            shape, square, runs, nxt = _shape(items[at:end]), items[at:end], 1, end
-            while nxt < len(items) and (stop := _square_end(items, nxt)) and _shape(items[nxt:stop]) == shape:
-                square, runs, nxt = _blend(square, items[nxt:stop]), runs + 1, stop
-            if runs > 1 or shape in known:
-                out.append(["rep", square])
-                at = nxt
-                changed = True
-            else:
-                out.append(items[at])
-                at += 1
-        items = out
-    return items
-
-
-def _groups(items: list[list]) -> frozenset:
-    found = set()
-    for x in items:
-        if x[0] == "rep":
-            found.add(_shape(x[1]))
-        if x[0] in ("rep", "opt"):
-            found |= _groups(x[1])
-    return frozenset(found)
-
-
-def _fits(a: list, b: list) -> int:
-    """How well two items match; 0 if they don't."""
-    if a[0] in ("text", "slot") and b[0] in ("text", "slot"):
-        return 2 if a[0] == b[0] == "text" and a[1] == b[1] else 1
-    if a[0] != b[0]:
-        return 0
-    if a[0] == "tag":
-        return 3 if a[1] == b[1] else 0
-    return 3 if a[1] and b[1] and a[1][0] == b[1][0] else 0
-
-
-def _joined(a: list, b: list) -> list:
-    if a[0] == "tag":
-        return a
-    if a[0] in ("rep", "opt"):
-        return [a[0], align(a[1], b[1])]
-    if a[0] == "text" and b[0] == "text" and a[1] == b[1]:
-        return ["text", a[1], a[2] + b[2]]
-    return ["slot", _chars(a) + _chars(b)]
-
-
-def align(a: list[list], b: list[list]) -> list[list]:
-    """The best alignment of two streams; what only one side has becomes optional."""
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(m - 1, -1, -1):
-            fit = _fits(a[i], b[j])
-            row[j] = max(below[j], row[j + 1], below[j + 1] + fit if fit else 0)
-    out: list[list] = []
+def _item(key: str, kids: list, chars: int = 0, text: str | None = None) -> list:
+    return [key, kids, False, False, chars, text]
 
-    def optional(item: list) -> None:
-        if item[0] == "opt":
-            item = list(item)
-        else:
-            item = ["opt", [item]]
-        if out and out[-1][0] == "opt":
-            out[-1] = ["opt", out[-1][1] + item[1]]
-        else:
-            out.append(item)
 
-    i = j = 0
-    while i < n or j < m:
-        fit = _fits(a[i], b[j]) if i < n and j < m else 0
-        if fit and best[i][j] == best[i + 1][j + 1] + fit:
-            out.append(_joined(a[i], b[j]))
+def _merge(a: list, b: list) -> list:
+    """Two items of one key as one."""
+    return [a[0], _aligned(a[1], b[1]), a[2] or b[2], a[3] or b[3], a[4] + b[4], a[5] if a[5] == b[5] else None]
+
+
+def _optional(item: list) -> list:
+    return [*item[:3], True, *item[4:]]
+
+
+def _pairs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of keys; of very long ones by their longest common runs."""
+    if len(a) * len(b) > TABLE:
+        return [(m.a + i, m.b + i) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() for i in range(m.size)]
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        row, below = best[i], best[i + 1]
+        for j in range(len(b) - 1, -1, -1):
+            row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j >= m or (i < n and best[i][j] == best[i + 1][j]):
-            optional(a[i])
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            optional(b[j])
             j += 1
     return out
 
 
-def infer(pages: list[str]) -> list[list]:
-    """The union-free expression of a host's pages; pages of more than LONGEST folded items are left out."""
-    wrapper: list[list] | None = None
-    for page in sorted(set(pages), key=lambda p: (len(p), p)):
-        items = fold(tokens(page))
-        if len(items) > LONGEST:
-            continue
-        if wrapper is None:
-            wrapper = items
-            continue
-        known = _groups(wrapper) | _groups(items)
-        wrapper = align(fold(wrapper, known), fold(items, known))
-        if len(wrapper) > 2 * LONGEST:
-            break
-    return wrapper or []
-
-
-def expression(items: list[list]) -> str:
-    """The wrapper as text: (...)+ repeated, (...)? optional, #PCDATA slots."""
-    parts = []
-    for x in items:
-        if x[0] == "tag":
-            parts.append(x[1].rstrip() + ">")
-        elif x[0] == "text":
-            parts.append(x[1])
-        elif x[0] == "slot":
-            parts.append("#PCDATA")
-        else:
-            parts.append(f"({expression(x[1])}){'+' if x[0] == 'rep' else '?'}")
-    return " ".join(parts)
+def _aligned(a: list[list], b: list[list]) -> list[list]:
+    """Two sequences of items as one: matches are merged, the rest becomes optional; repeats fold again."""
+    left, right = [x[0] for x in a], [x[0] for x in b]
+    if left == right:
+        return [_merge(x, y) for x, y in zip(a, b, strict=True)]
+    out: list[list] = []
+    i = j = 0
+    for x, y in [*_pairs(left, right), (len(a), len(b))]:
+        out += [_optional(item) for item in a[i:x]]
+        out += [_optional(item) for item in b[j:y]]
+        if x < len(a):
+            out.append(_merge(a[x], b[y]))
+        i, j = x + 1, y + 1
+    return _folded(out)
 
 
-def _flat(items: list[list]):
-    for x in items:
-        if x[0] in ("rep", "opt"):
-            yield from _flat(x[1])
+def _folded(items: list[list]) -> list[list]:
+    """Runs of one key, and adjacent repeats of a few keys, as repeated items."""
+    out: list[list] = []
+    for item in items:
+        if out and out[-1][0] == item[0] != "#":
+            out[-1] = [*_merge(out[-1], item)[:2], True, out[-1][3] and item[3], out[-1][4] + item[4], None]
         else:
-            yield x
+            out.append(item)
+    for width in range(2, min(PERIOD, len(out) // 2) + 1):
+        keys, at = [x[0] for x in out], 0
+        while at + 2 * width <= len(out):
+            square = keys[at : at + width]
+            runs = 1
+            while keys[at + runs * width : at + (runs + 1) * width] == square:
+                runs += 1
+            if runs > 1 and "#" not in square:
+                kids = out[at : at + width]
+                for r in range(1, runs):
+                    kids = [_merge(x, y) for x, y in zip(kids, out[at + r * width : at + (r + 1) * width], strict=True)]
+                out[at : at + runs * width] = [["( " + " ".join(square), kids, True, False, 0, None]]
+                keys = [x[0] for x in out]
+            at += 1
+    return out
 
 
-def region_of(wrapper: list[list]) -> tuple[str, str] | None:
-    """(tag, names) of the element that holds the variable text.
+def _pattern(element: list) -> list:
+    """A page's element as a wrapper item."""
+    kids = [_item("#", [], len(k), k) if isinstance(k, str) else _pattern(k) for k in element[1]]
+    return _item(element[0], _folded(kids))
+
+
+def wrapper_of_page(page: str) -> dict:
+    """The wrapper of a host with one page, and a mark of that page."""
+    return {"root": _pattern(tree(page)), "marks": [zlib.crc32(page.encode("utf-8", "replace"))]}
+
+
+def aligned(a: dict, b: dict) -> dict:
+    """Two wrappers as one; marks are the least TEMPLATE_PAGES of the different pages."""
+    return {"root": _merge(a["root"], b["root"]), "marks": sorted({*a["marks"], *b["marks"]})[:TEMPLATE_PAGES]}
+
+
+def infer(pages: list[str]) -> dict:
+    """The wrapper of pages, shorter ones first."""
+    found: dict = {"root": _item("", []), "marks": []}
+    for n, page in enumerate(sorted(set(pages), key=lambda p: (len(p), p))):
+        one = wrapper_of_page(page)
+        found = aligned(found, one) if n else one
+    return found
+
+
+def expression(item: list) -> str:
+    """A wrapper as text: (...)+ repeated, (...)? optional, #PCDATA slots."""
+    key, kids, many, optional, _, text = item
+    inner = " ".join(expression(k) for k in kids)
+    if key == "#":
+        body = "#PCDATA" if text is None else text
+    elif not key or key[0] == "(":
+        body = inner
+    else:
+        body = " ".join(x for x in (f"<{key}>", inner, "" if key.split(" ")[0] in VOID else f"</{key.split(' ')[0]}>") if x)
+    return f"({body})+" if many else f"({body})?" if optional else body
 
-    An article or main element that has any; else, from the body down, the child with most of the
-    variable text while that is over 70 % of its parent's.
-    """
-    root: dict = {"key": ("", ""), "own": 0, "kids": []}
-    stack = [root]
-    for x in _flat(wrapper):
-        if x[0] == "tag":
-            name = _opens(x)
-            if name:
-                if name not in VOID:
-                    kid = {"key": (name, x[1][len(name) + 2 :]), "own": 0, "kids": []}
-                    stack[-1]["kids"].append(kid)
-                    stack.append(kid)
-            else:
-                name = x[1][2:]
-                for d in range(len(stack) - 1, 0, -1):
-                    if stack[d]["key"][0] == name:
-                        del stack[d:]
-                        break
-        else:
-            stack[-1]["own"] += _chars(x)
 
-    def weight(e: dict) -> int:
-        return 0 if is_aside(*e["key"]) else e["own"] + sum(weight(k) for k in e["kids"])
+# ---- what a wrapper says about a host
 
-    def every(e: dict):
-        yield e
-        for k in e["kids"]:
-            if not is_aside(*k["key"]):
-                yield from every(k)
 
+def _aside(item: list) -> bool:
+    name, _, names = item[0].partition(" ")
+    return is_aside(name, names)
+
+
+def _weight(item: list) -> int:
+    """Characters of the texts that vary."""
+    if item[0] == "#":
+        return item[4] if item[5] is None else 0
+    return 0 if _aside(item) else sum(_weight(k) for k in item[1])
+
+
+def _chars(item: list) -> int:
+    return item[4] if item[0] == "#" else 0 if _aside(item) else sum(_chars(k) for k in item[1])
+
+
+def _every(item: list):
+    yield item
+    for k in item[1]:
+        if not _aside(k):
+            yield from _every(k)
+
+
+def region_of(wrapper: dict) -> list | None:
+    """The wrapper's item that holds the variable text.
+
+    An article or main element that has any; else, from the root down, the child with most of the
+    variable text while that is over 70 % of its parent's. Of a single page all text counts.
+    """
+    weight = _weight if _weight(wrapper["root"]) else _chars
     for tag in ("article", "main"):
-        found = [e for e in every(root) if e["key"][0] == tag and weight(e)]
+        found = [x for x in _every(wrapper["root"]) if x[0].split(" ")[0] == tag and weight(x)]
         if found:
-            return max(found, key=weight)["key"]
-    at = root
-    while at["kids"]:
-        top = max(at["kids"], key=weight)
-        if weight(top) <= 0.7 * weight(at) or top["key"][0] in ("p", *HEADINGS, "ul", "ol", "table"):
+            return max(found, key=weight)
+    at = wrapper["root"]
+    while any(k[0] != "#" for k in at[1]):
+        top = max(at[1], key=weight)
+        if top[0] == "#" or weight(top) <= 0.7 * weight(at) or top[0].split(" ")[0] in ("p", *HEADINGS, "ul", "ol", "table"):
             break
         at = top
-    return at["key"] if at is not root and at["key"][0] not in ("html", "body") else None
+    return at if at[0].split(" ")[0] not in ("", "html", "body") else None
+
 
+def _fixed(item: list) -> bool:
+    """Whether an item has text and all of it is the same on every page that has it."""
+    if item[0] == "#":
+        return item[5] is not None
+    return bool(item[1]) and not item[2] and all(_fixed(k) for k in item[1])
 
-def template_of(wrapper: list[list], region: tuple[str, str] | None, varied: int) -> list[str]:
-    """Texts of the region that every one of enough different pages has."""
-    if region is None or varied < TEMPLATE_PAGES:
+
+def template_of(region: list | None, marks: list[int]) -> list[list]:
+    """Elements at the region's start and end whose text never varied, on enough different pages.
+
+    Headings and loose texts stay; a region without variable text has no template.
+    """
+    if region is None or len(marks) < TEMPLATE_PAGES or not _weight(region):
         return []
-    found, depth, slots = [], 0, 0
-    for x in _flat(wrapper):
-        if x[0] == "tag":
-            if _opens(x) == region[0]:
-                depth += 1
-            elif x[1] == f"</{region[0]}":
-                depth -= 1
-        elif depth > 0:
-            if x[0] == "text" and x[2] >= varied:
-                found.append(x[1])
-            slots += x[0] == "slot"
-    return sorted(set(found)) if slots else []
+    found: list[list] = []
+    for kids in (region[1], region[1][::-1]):
+        for k in kids:
+            if not _fixed(k) or k[3] or k[0] == "#" or k[0].split(" ")[0] in HEADINGS:
+                break
+            found.append(k)
+    return found
+
+
+def reading(wrapper: dict) -> list:
+    """What reading needs of a wrapper: [key, in, kids], parts that are all in or all out without kids.
+
+    in is 1 for parts that hold the article and 0 for others. Without a region everything but asides
+    is in.
+    """
+    region = region_of(wrapper)
+    out = {id(x) for x in template_of(region, wrapper["marks"])}
+
+    def go(item: list, inside: int) -> list:
+        if item is region:
+            inside = 1
+        if inside and (id(item) in out or (item is not region and _aside(item))):
+            return [item[0], 0, []]
+        kids = []
+        for k in item[1]:
+            if k[0] == "#":
+                continue
+            if k[0][:1] == "(":  # a group's elements are matched like their neighbours
+                kids += [go(x, inside) for x in k[1] if x[0] != "#"]
+            else:
+                kids.append(go(k, inside))
+        if all(k[1] == inside and not k[2] for k in kids):
+            kids = []
+        return [item[0], inside, kids]
+
+    return go(wrapper["root"], 0 if region is not None else 1)
 
 
 def wrapper_of(pages: list[str]) -> dict:
-    """What reading needs of a host: its expression, region and template texts."""
-    items = infer(pages)
-    region = region_of(items)
-    varied = len({main_text(p, region, frozenset()) for p in set(pages)})
-    return {"region": region, "template": template_of(items, region, varied if varied == len(set(pages)) else 0), "expression": expression(items)}
+    """A host's region (tag, names), template texts, expression, and what reading needs."""
+    found = infer(pages)
+    region = region_of(found)
+    name, _, names = region[0].partition(" ") if region else ("", "", "")
+    return {"region": (name, names) if region else None, "template": [expression(k) for k in template_of(region, found["marks"])], "expression": expression(found["root"]), "reading": reading(found)}
 
 
 # ---- reading
 
 
-def blocks(page: str, region: tuple[str, str] | None) -> list[str]:
-    """Blocks of the region in page order; without a region, those of the article, main or body element."""
-    found = list(stream(page))
-    if region is None or not any(k == "o" and (n, v) == region for k, n, v in found):
-        names = {n for k, n, v in found if k == "o" and not is_aside(n, v)}
-        tag = next((t for t in ("article", "main") if t in names), "")
-        region = (tag, "*") if tag else None
-    out: list[str] = []
-    run: list[str] = []
-    inside = 0 if region else 1
-    skip, depth = "", 0
-    for kind, name, value in found:
-        if skip:
-            if name == skip:
-                depth += 1 if kind == "o" else -1 if kind == "c" else 0
-                if not depth:
-                    skip = ""
-            elif kind == "c" and region and name == region[0] and skip != name:
-                skip, depth = "", 0  # an element that is never closed ends with the region
-                inside -= 1
-            continue
-        if kind == "t":
-            if inside > 0:
-                run.append(html.unescape(value))
+def _emit(element: list, pattern: list | None, inside: int, out: list[str]) -> bool:
+    """Add the texts of an element's parts that are in; whether any part that is in was met."""
+    met = bool(inside)
+    kids = pattern[2] if pattern else []
+    at = 0
+    for child in element[1]:
+        if isinstance(child, str):
+            if inside:
+                out.append(child)
             continue
-        if name not in INLINE and run:
-            out.append("".join(run))
-            run = []
-        if name == "br" and inside > 0:
-            run.append(" ")
-        if kind == "o":
-            if region and name == region[0] and (inside > 0 or region[1] in ("*", value)):
-                inside += 1
-            elif is_aside(name, value) and name not in VOID:
-                skip, depth = name, 1
-        elif region and name == region[0] and inside > 0:
-            inside -= 1
-    out.append("".join(run))
-    return [b for b in (" ".join(x.split()) for x in out) if b]
+        # the next item of that key, or the first; an element that the wrapper lacks goes by its own tag
+        place = next((i for i in range(at, len(kids)) if kids[i][0] == child[0]), None)
+        if place is None:
+            place = next((i for i in range(min(at, len(kids))) if kids[i][0] == child[0]), None)
+        if place is None:
+            name, _, names = child[0].partition(" ")
+            met |= _emit(child, None, 0 if is_aside(name, names) else inside, out)
+        else:
+            at = place
+            met |= _emit(child, kids[place], kids[place][1], out)
+    return met
+
 
+def main_text(page: str, read: list | None) -> str:
+    """The texts of the wrapper's parts that hold the article, joined by line ends.
 
-def main_text(page: str, region: tuple[str, str] | None, template: frozenset) -> str:
-    """The blocks of the region that are no template text, joined by line ends."""
-    return "\n".join(b for b in blocks(page, region) if b not in template)
+    A page on which none of these parts is found, or without a wrapper, gives its article, main or
+    body element without asides.
+    """
+    root = tree(page)
+    out: list[str] = []
+    if read is not None and _emit(root, read, read[1], out):
+        return "\n".join(out)
+    return "\n".join(_plain(root))
+
+
+def _plain(root: list) -> list[str]:
+    """The texts of the article elements, else of main elements, else of the page, without asides."""
+
+    def go(element: list, inside: bool, tag: str, out: list[str]) -> list[str]:
+        for child in element[1]:
+            if isinstance(child, str):
+                if inside:
+                    out.append(child)
+            else:
+                name, _, names = child[0].partition(" ")
+                if not is_aside(name, names):
+                    go(child, inside or name == tag, tag, out)
+        return out
+
+    def has(element: list, tag: str) -> bool:
+        return any(not isinstance(c, str) and not is_aside(*c[0].partition(" ")[::2]) and (c[0].split(" ")[0] == tag or has(c, tag)) for c in element[1])
+
+    tag = next((t for t in ("article", "main") if has(root, t)), "")
+    return go(root, not tag, tag, [])
 
 
 def host(url):
@@ -407,35 +434,69 @@ def host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE) -> DataFrame:
-    """(host, wrapper): the wrapper of every host as JSON, from its first page in each of `sample` hash buckets."""
-    key = F.xxhash64(F.col(id_col), F.col(url_col))
-    keyed = pages.select(host(F.col(url_col)).alias("host"), key.alias("place"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    first = keyed.groupBy("host", F.pmod("place", F.lit(sample)).alias("bucket")).agg(F.min("place").alias("place")).select("host", "place")
-    first = cut(first)
-    if first.count() <= BROADCAST_KEYS:
-        first = F.broadcast(first)
-    chosen = keyed.join(first, ["host", "place"])
+def _partial(batches):
+    """Wrappers of the pages that a task reads, one a host unless they get large; part tells tasks apart."""
+    held: dict[str, dict] = {}
+    size = 0
+
+    def handed():
+        rows = sorted(held.items())
+        return pa.record_batch([pa.array([h for h, _ in rows], pa.string()), pa.array([json.dumps(w) for _, w in rows], pa.string())], names=["host", "wrapper"])
+
+    for b in batches:
+        for name, page in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
+            one = wrapper_of_page(page)
+            if name in held:
+                held[name] = aligned(held[name], one)
+            else:
+                held[name] = one
+                size += 2 * len(page)
+        if size > HELD_BYTES:
+            yield handed()
+            held, size = {}, 0
+    if held:
+        yield handed()
+
 
-    def learn(table: pa.Table) -> pa.Table:
-        found = sorted(set(texts(table["html"])))[: 2 * sample]
-        return pa.table([table["host"][:1].combine_chunks().cast(pa.string()), pa.array([json.dumps(wrapper_of(found))], pa.string())], names=["host", "wrapper"])
+def _align(table: pa.Table) -> pa.Table:
+    found: dict | None = None
+    for w in sorted(table["wrapper"].to_pylist(), key=lambda x: (len(x), x)):
+        one = json.loads(w)
+        found = one if found is None else aligned(found, one)
+    return pa.table([table["host"][:1].combine_chunks().cast(pa.string()), pa.array([json.dumps(found)], pa.string())], names=["host", "wrapper"])
 
-    return chosen.groupBy("host").applyInArrow(learn, "host string, wrapper string")
+
+def _told(batches):
+    for b in batches:
+        found = [json.loads(w) for w in b.column(1).to_pylist()]
+        yield pa.record_batch([b.column(0), pa.array([json.dumps(reading(w)) for w in found], pa.string()), pa.array([expression(w["root"]) for w in found], pa.string())], names=["host", "reading", "expression"])
+
+
+def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, reading, expression) of every host, from all of its pages.
+
+    Null html is an empty page, a null url belongs to the host without a name; repeated pages count
+    as one for what is template; an empty table gives no rows.
+    """
+    slim = pages.select(host(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    parts = map_batches(slim, _partial, "host string, wrapper string")
+    dealt = parts.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(GROUPS)))
+    near = dealt.groupBy("host", "part").applyInArrow(lambda key, t: _align(t), "host string, wrapper string")
+    whole = near.groupBy("host").applyInArrow(_align, "host string, wrapper string")
+    return map_batches(whole, _told, "host string, reading string, expression string")
 
 
 def _read(at: int, look):
     def run(batches):
-        kept: dict[str, tuple] = {}
+        kept: dict[str, list | None] = {}
         for b in batches:
             out = []
             for page, w in zip(texts(b.column(at)), look(b), strict=True):
                 if w not in kept:
                     if len(kept) > 10_000:
                         kept = {}
-                    data = json.loads(w) if w else {"region": None, "template": []}
-                    kept[w] = (tuple(data["region"]) if data["region"] else None, frozenset(data["template"]))
-                out.append(main_text(page, *kept[w]))
+                    kept[w] = json.loads(w) if w else None
+                out.append(main_text(page, kept[w]))
             yield pa.record_batch([*[b.column(i) for i in range(at)], pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=[*b.schema.names[:at], "text", "n_chars"])
 
     return run
@@ -445,17 +506,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per page: id, url, text (its main text, empty if none), n_chars.
 
     Null html has no text; a null url belongs to the host without a name; repeated rows stay; an
-    empty table gives no rows; other columns are ignored. Wrappers are sent to every task if they are
-    small together, otherwise they are joined by host.
+    empty table gives no rows; other columns are ignored. Of equally heavy regions the first is
+    taken. Wrappers are sent to every task if they are small together, otherwise they are joined by
+    host.
     """
-    found = cut(wrappers(pages, id_col, url_col, html_col).withColumn("region", F.get_json_object("wrapper", "$.region")).withColumn("template", F.get_json_object("wrapper", "$.template")))
-    short = found.select("host", F.concat(F.lit('{"region":'), F.coalesce("region", F.lit("null")), F.lit(',"template":'), F.coalesce("template", F.lit("[]")), F.lit("}")).alias("wrapper"))
+    short = Scratch(pages.sparkSession).store(wrappers(pages, url_col, html_col).select("host", "reading"))
     slim = pages.select(F.col(id_col).alias(id_col), F.col(url_col).alias(url_col), host(F.col(url_col)).alias("__host"), F.coalesce(F.col(html_col), F.lit("")).alias("__html"))
     kinds = f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, `{url_col}` string, text string, n_chars long"
-    size = short.agg(F.coalesce(F.sum(F.length("host") + F.length("wrapper")), F.lit(0))).first()[0]
+    size = short.agg(F.coalesce(F.sum(F.length("host") + F.length("reading")), F.lit(0))).first()[0]
     if size <= BROADCAST_BYTES:
-        shared = pages.sparkSession.sparkContext.broadcast({r.host: r.wrapper for r in short.collect()})
+        shared = pages.sparkSession.sparkContext.broadcast({r.host: r.reading for r in short.collect()})
         plan = slim.select(id_col, url_col, "__html", "__host")
         return map_batches(plan, _read(2, lambda b: [shared.value.get(h) for h in b.column(3).to_pylist()]), kinds)
-    plan = slim.join(short.withColumnRenamed("host", "__host"), "__host", "left").select(id_col, url_col, "__html", "wrapper")
+    plan = slim.join(short.withColumnRenamed("host", "__host"), "__host", "left").select(id_col, url_col, "__html", "reading")
     return map_batches(plan, _read(2, lambda b: b.column(3).to_pylist()), kinds)

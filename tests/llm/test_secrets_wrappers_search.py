@@ -49,13 +49,13 @@ def test_wrapper_of_a_host():
     pages = [page(n, f"<article><h1>Title {n}</h1>" + "".join(f"<p>words {n} {i} of the text</p>" for i in range(1 + n % 4)) + "<p>Read our rules</p></article>") for n in range(9)]
     w = W.wrapper_of(pages)
     assert tuple(w["region"]) == ("article", "") and "(<li> #PCDATA </li>)+" in w["expression"] and w["template"] == []
-    assert W.main_text(pages[2], ("article", ""), frozenset()) == "Title 2\nwords 2 0 of the text\nwords 2 1 of the text\nwords 2 2 of the text\nRead our rules"
+    assert W.main_text(pages[2], w["reading"]) == "Title 2\nwords 2 0 of the text\nwords 2 1 of the text\nwords 2 2 of the text\nRead our rules"
 
 
 def test_region_without_article():
     body = lambda n: f'<div id="wrap"><div class="content-x"><h2>T{n}</h2><p>' + f"long words {n} " * 30 + f'</p><form><input><p>name {n}</p></form></div><div class="sidebar"><p>side {n}</p></div></div>'
     w = W.wrapper_of([page(n, body(n)) for n in range(6)])
-    text = W.main_text(page(3, body(3)), tuple(w["region"]), frozenset())
+    text = W.main_text(page(3, body(3)), w["reading"])
     assert text.startswith("T3\nlong words 3") and "side" not in text and "name" not in text and "Buy" not in text
 
 
@@ -67,7 +67,64 @@ def test_region_without_article():
     ],
 )
 def test_blocks(html, want):
-    assert W.main_text(html, None, frozenset()) == want
+    assert W.main_text(html, None) == want
+
+
+def test_wrappers_change_what_is_read(spark):
+    """Hosts without an article element, and with boilerplate inside it: the wrapper decides, not names."""
+    cols = lambda n: f'<div id="a1"><p>choose {n % 3}</p></div><div id="b2"><h2>Story {n}</h2><p>{f"told {n} " * 40}</p><div id="c3">All rights are ours</div></div><div id="d4">see also {n}</div>'
+    boxed = lambda n: f'<article><div class="z">Best prices, act today</div><h1>Head {n}</h1><h2>Notes</h2><p>body {n} of it</p><div class="z">Best prices, act today</div></article>'
+    for make, want in ((cols, lambda n: f"Story {n}\n{('told %d ' % n * 40).strip()}"), (boxed, lambda n: f"Head {n}\nNotes\nbody {n} of it")):
+        pages = [page(n, make(n)) for n in range(8)]
+        found = W.wrapper_of(pages)
+        for n, p in enumerate(pages):
+            with_it, without = W.main_text(p, found["reading"]), W.main_text(p, None)
+            assert with_it == want(n) and without != with_it
+        # too few different pages say nothing about what is template
+        few = W.wrapper_of([*pages[:3], *pages[:3]])
+        assert few["template"] == []
+    rows = [(n, f"http://h.x/{n}", page(n, cols(n))) for n in range(8)]
+    out = {r.page_id: r.text for r in W.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert out == {n: f"Story {n}\n{('told %d ' % n * 40).strip()}" for n in range(8)}
+
+
+def test_alignment_is_longest_and_accepts_its_pages():
+    rng = random.Random(6)
+
+    def longest(a, b):
+        return 0 if not a or not b else max(longest(a[1:], b), longest(a, b[1:]), 1 + longest(a[1:], b[1:]) if a[0] == b[0] else 0)
+
+    for _ in range(60):
+        a, b = ([rng.choice("pqrs") for _ in range(rng.randrange(8))] for _ in range(2))
+        pairs = W._pairs(a, b)
+        assert len(pairs) == longest(a, b) and all(a[i] == b[j] for i, j in pairs) and all(x < y and u < v for (x, u), (y, v) in zip(pairs, pairs[1:], strict=False))
+
+    def regex(item):
+        key, kids, many, optional, _, text = item
+        inner = "".join(regex(k) for k in kids)
+        body = "(?:#)" if key == "#" else inner if not key or key[0] == "(" else f"(?:<{re.escape(key)}>{inner}</>)"
+        return f"(?:{body}){'*' if many and optional else '+' if many else '?' if optional else ''}"
+
+    def flat(element):
+        return "".join("#" if isinstance(k, str) else f"<{k[0]}>{flat(k)}</>" for k in element[1])
+
+    accepted = total = 0
+    for _ in range(40):
+        def grow(depth):
+            return "".join(rng.choice(["x", f"<div>{grow(depth - 1)}</div>", "<p>t</p>", "<h2>u</h2><p>v</p>"]) for _ in range(rng.randrange(1, 4))) if depth else "w"
+
+        pages = [grow(2) for _ in range(4)]
+        found = regex(W.infer(pages)["root"])
+        total += len(pages)
+        accepted += sum(re.fullmatch(found, flat(W.tree(p))) is not None for p in pages)
+    assert accepted >= 0.9 * total
+
+
+def test_repeats_and_deep_pages():
+    many = W.infer(["<dl>" + "<dt>a</dt><dd>b</dd>" * n + "</dl>" for n in (2, 5)])
+    assert "(<dt> a </dt> <dd> b </dd>)+" in W.expression(many["root"])
+    deep = "<div>" * 5_000 + "<p>low</p>" + "</div>" * 5_000 + "<p>after</p>"
+    assert W.main_text(deep, W.wrapper_of([deep, deep + "<p>x</p>"])["reading"]) == "low\nafter"
 
 
 def test_extract_odd_pages(spark):
