@@ -155,6 +155,24 @@ def test_search_recall(spark, scale):
     assert found.keys() == want.keys() and np.mean([len({*found[q]} & {*want[q]}) / 20 for q in want]) >= 0.9
 
 
+@pytest.mark.parametrize("rows", [300, 1200, 9000])
+def test_search_recall_at_sizes(spark, rows):
+    """9000 rows are two blocks; none of the sizes is answered by comparing all rows."""
+    x = np.random.default_rng(rows).normal(size=(rows, 48))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in N.search(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    want = dict(brute_knn(np.arange(rows), x, 20))
+    assert found.keys() == want.keys() and np.mean([len({*found[q]} & {*want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_search_meets_own_length(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 2.0]), (2, [1.0, 1.0, 1.0]), (20, [0.0, 1.0, 5.0]), (21, [3.0, 1.0, 1.0]), (4, [0.5, 0.0])], "vec_id long, embedding array<double>")
+    out = N.search(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in out] == [(0, 1, 1, 6.0), (0, 2, 4, 0.5), (20, 1, 2, 6.0), (20, 2, 21, 6.0)]
+
+
 def test_search_odd_vectors(spark):
     kinds = "vec_id long, embedding array<float>, id string, v string, score string"
     nan = float("nan")
