@@ -27,8 +27,6 @@ from lumenquery.session import cut
 SAMPLE = 20_000  # labelled rows that the regression sees at most
 MIN_ROWS = 4  # toxic rows that a feature must occur in
 MIN_SHARE = 0.35  # share of toxic rows among a feature's rows
-CANDIDATES = 200_000  # features of toxic rows that are looked up in all rows at most, by number of rows
-LEXICON = 20_000  # features kept at most, by evidence
 SURE = 0.9  # a feature whose smoothed share is at least this speaks for itself
 
 # ---- alphabet of the character model: boundary, a-z, the Latin-1 small letters, any other sign
@@ -51,6 +49,7 @@ WILD = "*#%&?"  # may hide any letter, or nothing
 APART = ".-_~'`^:;,/\\=\"[]{})>"  # may be set between letters
 SUBSTITUTE, DROP, DROP_EDGE, HIDE, KEEP_SIGN, SQUEEZE, JOIN, SPLIT = 1.0, 9.0, 1.0, 2.0, 0.7, 0.6, 0.2, 4.0
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
+_PLAIN_EDGES = " \t\r\n.,;:\"'[]{}«»„“”‚‘’…"
 _EDGES = " \t\r\n.,;:!?\"'()[]{}<>«»„“”‚‘’…¿¡"
 _SUSPECT = re.compile("[" + re.escape("".join(LOOKALIKES) + WILD + APART) + r"]|(.)\1\1")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[" + re.escape("".join(c for c in LOOKALIKES if c not in "0123456789") + "*") + r"])(?:[ \t._*-]{1,2}(?:[^\W_]|[@$!|+]))" + r"{2,}(?!\S)")
@@ -119,11 +118,14 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(word: str, cost: list[list[list[float]]]) -> str:
-    """The likeliest spelling of a lower-case word: Viterbi with the last two signs as state."""
-    states = {(0, 0): (0.0, "")}
+    """The likeliest spelling of a lower-case word: Viterbi with the last two signs as state.
+
+    Paths share their beginnings, so time and memory grow with the word's length alone.
+    """
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in lattice(word):
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (total, out) in states.items():
+        nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (total, path) in states.items():
             for spelling, price in options:
                 x, y, c = a, b, total + price
                 for ch in spelling:
@@ -131,9 +133,14 @@ def decode(word: str, cost: list[list[list[float]]]) -> str:
                     c += cost[x][y][z]
                     x, y = y, z
                 if (x, y) not in nxt or c < nxt[x, y][0]:
-                    nxt[x, y] = (c, out + spelling)
+                    nxt[x, y] = (c, (spelling, path) if spelling else path)
         states = nxt
-    return min((total + cost[a][b][0], out) for (a, b), (total, out) in states.items())[1]
+    _, path = min(((total + cost[a][b][0], path) for (a, b), (total, path) in states.items()), key=lambda x: x[0])
+    out = []
+    while path:
+        out.append(path[0])
+        path = path[1]
+    return "".join(reversed(out))
 
 
 def beginnings(word: str) -> list[str]:
@@ -152,15 +159,17 @@ class Restorer:
 
     def word(self, token: str) -> tuple[str, ...]:
         """The restored words of one token."""
-        bare = token.strip(_EDGES)
+        bare = token.strip(_PLAIN_EDGES)
+        core = bare.strip(_EDGES)
+        # "!diot" and "(lown" hide letters at their edges, "really!" and "(now)" do not: the lattice
+        # decides, which may drop edge signs or read them, and only where letters follow them directly
+        bare = bare.rstrip(_EDGES) if core and core[0].isalpha() and bare[0] in "!(<" and bare[-1] not in ")>" else core
         bare = unicodedata.normalize("NFKC", _INVISIBLE.sub("", bare)).lower() if not bare.isascii() else bare
         if len(bare) < 2 or not _SUSPECT.search(bare):
             return (bare,) if bare else ()
         if not any(c.isalpha() or c in "@$!|*" for c in bare):
             return (bare,)
-        if len(bare) <= 200:
-            return tuple(decode(bare, self.cost).split())
-        return tuple(w for at in range(0, len(bare), 160) for w in decode(bare[at : at + 200], self.cost).split())
+        return tuple(decode(bare, self.cost).split())
 
     def spaced(self, lower: str) -> list[str]:
         """Words that stand spelled out with spaces."""
@@ -168,8 +177,7 @@ class Restorer:
         for m in _SPACED.finditer(lower):
             signs = m.group()
             if len(set(signs)) > 3:
-                for at in range(0, len(signs), 400):  # long runs are decoded in overlapping pieces
-                    out += decode(signs[at : at + 440], self.cost).split()
+                out += decode(signs, self.cost).split()
         return out
 
     def words(self, text: str) -> set[str]:
@@ -293,15 +301,17 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__y"))
     chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(sample)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
-    rows = cut(rows.select(F.col("__text").alias("text"), F.col("__y").cast("int").alias("y")))
+    # an id that many documents have gives one text, so the rows are as bounded as the labels
+    rows = rows.groupBy("__id", "__y").agg(F.min(F.struct(F.xxhash64("__text").alias("h"), "__text")).alias("t"))
+    rows = cut(rows.select(F.col("t.__text").alias("text"), F.col("__y").cast("int").alias("y")))
     seen_bad = map_batches(rows.where("y > 0").select("text"), _feature_counts(shared), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n1")).where(F.col("n1") >= MIN_ROWS)
-    likely = {r.feature: r.n1 for r in seen_bad.orderBy(F.desc("n1"), "feature").limit(CANDIDATES).collect()}
+    # as many as the bounded sample has: each needs MIN_ROWS of its rows
+    likely = {r.feature: r.n1 for r in seen_bad.collect()}
     places = {f: i for i, f in enumerate(sorted(likely))}
     lexicon = spark.sparkContext.broadcast(places)
     among = map_batches(rows, _known(shared, lexicon), "found array<int>, y int")
     counts = {r.f: r.n for r in among.select(F.explode("found").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()}
-    useful = sorted(((-likely[f] * likely[f] / counts[i], f) for f, i in places.items() if likely[f] >= MIN_SHARE * counts.get(i, math.inf)))[:LEXICON]
-    kept = [Evidence(f, likely[f], counts[places[f]]) for _, f in useful]
+    kept = [Evidence(f, likely[f], counts[i]) for f, i in places.items() if likely[f] >= MIN_SHARE * counts.get(i, math.inf)]
     names = sorted(r.feature for r in kept)
     lexicon = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
     seen = map_batches(rows, _known(shared, lexicon), "found array<int>, y int").groupBy("found", "y").count().collect()
@@ -355,8 +365,9 @@ def held_out(id_col: str, modulus: int, remainder: int):
 def scored(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """One row per document: id, held_out, score, predicted.
 
-    Labels of held-out ids are never read. Repeated rows stay, an empty table gives no rows, other
-    columns are ignored; without labels every score is that of no evidence.
+    Labels of held-out ids are never read. Repeated rows stay and score alike, an empty table gives no
+    rows, other columns are ignored; null and empty texts and, without labels, all texts have the score
+    of no evidence; a score of the threshold counts as 1.
     """
     model = train(docs, labels.where(~held_out(id_col, 4, 2)), label_col, id_col, text_col)
     out = score(docs, model, id_col, text_col)
