@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenquery.functions import text as T
 from lumenquery.functions.snowball import STEMMERS, stems
-from lumenquery.session import cut
+from lumenquery.session import Scratch, cut
 
 K1, B = 1.5, 0.75  # fixed values
 
@@ -20,7 +20,8 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, language: str | None)
 
 def postings(docs: DataFrame, id_col: str, text_col: str, language: str | None = None, stemming: bool = False) -> DataFrame:
     """(id, term, tf). Stems are found on the distinct terms and joined back."""
-    found = tokenised(docs, id_col, text_col, language).select("id", F.explode("terms").alias("term"))
+    # an outer explode: a plain one makes Spark infer a filter that tokenises every text once more
+    found = tokenised(docs, id_col, text_col, language).select("id", F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
     counts = found.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     if stemming and language in STEMMERS:
         counts = counts.join(stems(counts, "term", language), "term").groupBy("id", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
@@ -49,21 +50,28 @@ def norms(index: DataFrame, n_docs: int) -> DataFrame:
     return weighted.groupBy("id").agg(F.sqrt(F.sum(w * w)).alias("norm"))
 
 
-def rank(scores: DataFrame, k: int) -> DataFrame:
-    """The k best (query, id, score) of each query, ties to the smaller id, with place from 1."""
+def rank(scores: DataFrame, k: int | None) -> DataFrame:
+    """The k best (query, id, score) of each query, ties to the smaller id, with place from 1; without k all, unplaced."""
+    if k is None:
+        return scores
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return scores.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def tfidf(index: DataFrame, queries: DataFrame, n_docs: int, k: int) -> DataFrame:
-    """Cosine of log10(1 + tf) * idf vectors; terms in every document weigh nothing."""
+def _cosines(index: DataFrame, hits: DataFrame, queries: DataFrame, n_docs: int, lengths: DataFrame) -> DataFrame:
+    """(query, id, score): index has all postings of the query terms, lengths the norms of documents."""
     df = document_frequencies(index)
     asked = queries.join(df, "term").withColumn("idf", idf_log10(F.lit(float(n_docs)), F.col("df"))).where("idf > 0")
     asked = asked.withColumn("w", F.log10(1 + F.col("tf")) * F.col("idf")).withColumn("qnorm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query"))))
-    hits = index.withColumnRenamed("tf", "dtf").join(F.broadcast(asked), "term")
-    dots = hits.groupBy("query", "id", "qnorm").agg(F.sum(F.col("w") * F.col("idf") * F.log10(1 + F.col("dtf"))).alias("dot"))
-    scored = dots.join(norms(index, n_docs), "id").where("norm > 0")
-    return rank(scored.select("query", "id", (F.col("dot") / (F.col("qnorm") * F.col("norm"))).alias("score")), k)
+    met = hits.select("id", "term", F.col("tf").alias("dtf")).join(F.broadcast(asked), "term")
+    dots = met.groupBy("query", "id", "qnorm").agg(F.sum(F.col("w") * F.col("idf") * F.log10(1 + F.col("dtf"))).alias("dot"))
+    scored = dots.join(lengths, "id").where("norm > 0")
+    return scored.select("query", "id", (F.col("dot") / (F.col("qnorm") * F.col("norm"))).alias("score"))
+
+
+def tfidf(index: DataFrame, queries: DataFrame, n_docs: int, k: int | None) -> DataFrame:
+    """Cosine of log10(1 + tf) * idf vectors; terms in every document weigh nothing."""
+    return rank(_cosines(index, index, queries, n_docs, norms(index, n_docs)), k)
 
 
 def bm25(tokens: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
@@ -107,10 +115,98 @@ def bm25_postings(index: DataFrame, queries: DataFrame, n_docs: int, k: int, k1:
     return rank(scores, k)
 
 
+BUCKETS = 64  # folders that an index's terms are dealt to
+
+
+class TextIndex:
+    """Postings of a table, written once, by term: (term, id, tf, dl), with norms added when first asked for.
+
+    Terms are dealt to bucket folders, so a query reads its terms' folders only; a folder holds several
+    files by a hash of the document, so a frequent term is no single task's work. The index belongs to
+    the version of the table that it was built from; `of` keeps one for every version.
+    """
+
+    _KEPT: dict[tuple, TextIndex] = {}
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, language: str | None = None, stemming: bool = False, buckets: int = BUCKETS):
+        self.spark, self.buckets = docs.sparkSession, buckets
+        self.scratch = Scratch(self.spark)
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        terms = tokenised(docs, id_col, text_col, language).select("id", F.size("terms").cast("long").alias("dl"), F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
+        if stemming and language in STEMMERS:
+            found = self.scratch.store(terms.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+            terms = found.join(stems(found, "term", language), "term").select("id", "dl", F.col("stem").alias("term"), "tf")
+        else:
+            terms = terms.withColumn("tf", F.lit(1).cast("long"))
+        place = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+        salt = F.pmod(F.xxhash64("id"), F.lit(max(1, parts // buckets))).cast("int")
+        dealt = terms.withColumn("bucket", place).withColumn("salt", salt).repartition("bucket", "salt")
+        counted = dealt.groupBy("bucket", "salt", "term", "id", "dl").agg(F.sum("tf").alias("tf")).drop("salt")
+        self.path = f"{self.scratch.folder}/postings"
+        counted.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").option("compression", "none").parquet(self.path)
+        self.postings = self.spark.read.schema(counted.select("term", "id", "dl", "tf", "bucket").schema).parquet(self.path)
+        self.n = docs.count()
+        self.words = self.postings.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+        self._norms: DataFrame | None = None
+
+    @classmethod
+    def of(cls, docs: DataFrame, id_col: str, text_col: str, language: str | None = None, stemming: bool = False) -> TextIndex:
+        """The index of a table, built once for its plan and the names, lengths and times of its files."""
+        spark = docs.sparkSession
+        conf = spark._jsc.hadoopConfiguration()
+        files = []
+        for f in sorted(docs.inputFiles()):
+            path = spark._jvm.org.apache.hadoop.fs.Path(f)
+            status = path.getFileSystem(conf).getFileStatus(path)
+            files.append((f, status.getLen(), status.getModificationTime()))
+        key = (spark.sparkContext.applicationId, docs.semanticHash(), tuple(files), id_col, text_col, language, stemming)
+        if not files or key not in cls._KEPT:
+            made = cls(docs, id_col, text_col, language, stemming)
+            if not files:
+                return made
+            cls._KEPT[key] = made
+        return cls._KEPT[key]
+
+    def hits(self, terms: DataFrame) -> DataFrame:
+        """The postings of a few terms; only their folders are read."""
+        wanted = terms.select("term", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int").alias("bucket")).distinct().collect()
+        if not wanted:
+            return self.postings.limit(0)
+        return self.postings.where(F.col("bucket").isin(sorted({r.bucket for r in wanted})) & F.col("term").isin(sorted(r.term for r in wanted)))
+
+    def dictionary(self) -> DataFrame:
+        """(term, df, cf, idf) of every term."""
+        counts = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+        return counts.withColumn("idf", idf_log10(F.lit(float(self.n)), F.col("df")))
+
+    def norms(self) -> DataFrame:
+        if self._norms is None:
+            self._norms = self.scratch.store(norms(self.postings, self.n))
+        return self._norms
+
+    def bm25(self, queries: DataFrame, k: int | None = None, k1: float = K1, b: float = B) -> DataFrame:
+        """(query, id, score) of a few queries, the k best with their places, or all without k."""
+        if not self.n or not self.words:
+            return rank(self.spark.createDataFrame([], "query string, id long, score double"), k)
+        found = self.hits(queries)
+        df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        idf = F.ln((F.lit(float(self.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+        asked = queries.select("query", "term").distinct().join(df, "term").select("query", "term", idf.alias("idf"))
+        scale = k1 * (1 - b + b * F.col("dl") / F.lit(self.words / self.n))
+        part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + scale)
+        return rank(found.join(F.broadcast(asked), "term").groupBy("query", "id").agg(F.sum(part).alias("score")), k)
+
+    def tfidf(self, queries: DataFrame, k: int | None = None) -> DataFrame:
+        """Cosines of a few queries; norms are read for the documents that were hit."""
+        found = self.hits(queries)
+        return rank(_cosines(found, found, queries, self.n, self.norms()), k)
+
+
 def coordination(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Rank by the number of query terms met, then by the sum of tf / (1 + length / 10)."""
-    lengths = index.groupBy("id").agg(F.sum("tf").alias("dl"))
-    hits = index.join(F.broadcast(queries.select("query", "term").distinct()), "term").join(lengths, "id")
+    hits = index.join(F.broadcast(queries.select("query", "term").distinct()), "term")
+    if "dl" not in index.columns:
+        hits = hits.join(index.groupBy("id").agg(F.sum("tf").alias("dl")), "id")
     found = hits.groupBy("query", "id").agg(F.count(F.lit(1)).alias("met"), F.sum(F.col("tf") / (1 + 0.1 * F.greatest(F.col("dl"), F.lit(1)))).alias("density"))
     order = Window.partitionBy("query").orderBy(F.desc("met"), F.desc("density"), "id")
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
@@ -124,16 +220,38 @@ def more_like_this(index: DataFrame, doc_id, n_docs: int, max_terms: int = 25, m
     return own.join(df, "term").select("term", weight.alias("weight")).orderBy(F.desc("weight"), "term").limit(max_terms)
 
 
+def surfaces(docs: DataFrame, id_col: str, text_col: str, language: str) -> DataFrame:
+    """(stem, surface, n, first_id): the words that each stem stands for, how often, and the least document with them."""
+    found = tokenised(docs, id_col, text_col, language).select("id", F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
+    counts = found.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    return counts.join(stems(counts, "term", language), "term").select("stem", F.col("term").alias("surface"), "n", "first_id")
+
+
+def surface_forms(forms: DataFrame, most: int = 10) -> DataFrame:
+    """(stem, forms): a stem's words as an array, commonest first, ties alphabetical."""
+    order = Window.partitionBy("stem").orderBy(F.desc("n"), "surface")
+    best = forms.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= most)
+    return best.groupBy("stem").agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "surface"))), lambda x: x["surface"]).alias("forms"))
+
+
+def first_surfaces(docs: DataFrame, id_col: str, text_col: str, doc_id, language: str) -> DataFrame:
+    """(stem, surface): the first word of one document that each stem stands for."""
+    own = tokenised(docs.where(F.col(id_col) == doc_id), id_col, text_col, language).select(F.posexplode("terms").alias("at", "term"))
+    named = own.join(stems(own, "term", language), "term")
+    return named.groupBy("stem").agg(F.min(F.struct("at", "term")).alias("f")).select("stem", F.col("f.term").alias("surface"))
+
+
 def relative_tf(index: DataFrame) -> DataFrame:
     """(id, term, weight): tf over the document's length."""
     total = F.sum("tf").over(Window.partitionBy("id"))
     return index.select("id", "term", (F.col("tf") / total).alias("weight"))
 
 
-def unit_length(weights: DataFrame) -> DataFrame:
-    """(id, term, weight) rows scaled to vectors of length 1; zero vectors go."""
+def unit_length(weights: DataFrame, keep: str | None = None) -> DataFrame:
+    """(id, term, weight) rows scaled to vectors of length 1; zero vectors go. keep names the weight before."""
     norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("id")))
-    return weights.withColumn("__norm", norm).where("__norm > 0").select("id", "term", (F.col("weight") / F.col("__norm")).alias("weight"))
+    before = [F.col("weight").alias(keep)] if keep else []
+    return weights.withColumn("__norm", norm).where("__norm > 0").select("id", "term", *before, (F.col("weight") / F.col("__norm")).alias("weight"))
 
 
 def diagnostics(index: DataFrame, queries: DataFrame, n_docs: int) -> DataFrame:

@@ -83,9 +83,12 @@ class Ivf:
 
     def search(self, vector, k: int, probes: int = 8, metric: str = "cosine") -> DataFrame:
         """The k nearest rows of the cells whose centroids are nearest; the cell filter prunes partitions of a stored index."""
+        return nearest(self.cells_near(vector, probes), self.vec_col, vector, k, self.key, metric)
+
+    def cells_near(self, vector, probes: int) -> DataFrame:
+        """The rows of the cells whose centroids are nearest."""
         d = np.sqrt(((self.centroids - np.asarray(vector, dtype=float)) ** 2).sum(axis=1))
-        wanted = np.lexsort((np.arange(len(d)), d))[:probes].tolist()
-        return nearest(self.rows, self.vec_col, vector, k, self.key, metric, where=F.col("cell").isin(wanted))
+        return self.rows.where(F.col("cell").isin(np.lexsort((np.arange(len(d)), d))[:probes].tolist()))
 
     def write(self, path: str) -> None:
         self.rows.write.partitionBy("cell").parquet(path)

@@ -67,6 +67,26 @@ class Clauses:
     similar: tuple | None = None  # query, k, method, metric
 
 
+def _kind(data: T.DataType) -> str | None:
+    """What a type compares with: numbers, text, points; other types, such as dates, are left to Spark."""
+    if isinstance(data, T.NumericType):
+        return "a number"
+    if isinstance(data, T.StringType):
+        return "text"
+    return "a POINT" if isinstance(data, T.StructType) else None
+
+
+def _assigned(field: T.StructField, value):
+    """A literal as a column takes it; a value of another kind or too long is an error."""
+    kind = "text" if isinstance(value, str) else "a number" if isinstance(value, (int, float)) else "a POINT"
+    if _kind(field.dataType) not in (None, kind):
+        raise SqlError(f"{field.name} takes {_kind(field.dataType)}, not {kind}")
+    size = field.metadata.get("bytes")
+    if size and isinstance(value, str) and len(value.encode()) > size:
+        raise SqlError(f"{field.name} takes {size} bytes")
+    return float(value) if isinstance(field.dataType, (T.FloatType, T.DoubleType)) else value
+
+
 class _Parser:
     """Reads tokens; subclass methods build Columns against a scope of tables."""
 
@@ -127,16 +147,30 @@ class _Parser:
         first = self.get("name")
         return f"{first}.{self.get('name')}" if self.take(".") else first
 
-    def value(self, scope):
-        """A literal as a Python value, or a Column of the scope."""
-        if self.peek("-") or self.toks[self.at][0] == "num":
+    def value(self, scope, kind: str | None = None):
+        """A literal as a Python value, or a Column of the scope; with a kind, one that compares with it."""
+        at = self.at
+        if self.peek("-") or self.toks[at][0] == "num":
+            self._like_kind(kind, "a number")
             return self.number()
-        if self.toks[self.at][0] == "str":
+        if self.toks[at][0] == "str":
+            self._like_kind(kind, "text")
             return self.get("str")
+        if self.toks[at][0] == "name" and not self.peek("point") and hasattr(scope, "kind"):
+            name = self.name()
+            self._like_kind(kind, scope.kind(name))
+            return scope(name)
         if self.peek("point"):
             return F.struct(*[F.lit(x).alias(n) for x, n in zip(self.point(), ("lat", "lon"), strict=True)])
         return scope(self.name())
 
+    @staticmethod
+    def _like_kind(left: str | None, right: str | None) -> None:
+        if left and right and left != right:
+            raise SqlError(f"{left} doesn't compare with {right}")
+        if "a POINT" in (left, right):
+            raise SqlError("a POINT stands in spatial functions only")
+
     # ---- expressions
 
     def spatial_argument(self, scope) -> tuple[Column, Column]:
@@ -236,15 +270,19 @@ class _Parser:
             _, left = self.function(scope)
             if not self.peek("=", "!=", "<>", "<", "<=", ">", ">="):
                 return left
+            kind = "a number"
         else:
-            left = scope(self.name())
+            name = self.name()
+            left, kind = scope(name), scope.kind(name)
+            self._like_kind(kind, None)
         negated = self.take("not")
         if self.take("like"):
+            self._like_kind(kind, "text")
             out = R.like(left, self.get("str"))
         elif self.take("between"):
-            low = self.value(scope)
+            low = self.value(scope, kind)
             self.need("and")
-            out = (left >= low) & (left <= self.value(scope))
+            out = (left >= low) & (left <= self.value(scope, kind))
         elif self.take("in"):
             self.need("(")
             if self.peek("select"):
@@ -252,17 +290,18 @@ class _Parser:
                 if len(sub.columns) != 1:
                     raise SqlError("a subquery has one column")
                 self.need(")")
+                self._like_kind(kind, _kind(sub.schema[0].dataType))
                 return self.s.defer(left, sub, negated)
-            values = [self.value(scope)]
+            values = [self.value(scope, kind)]
             while self.take(","):
-                values.append(self.value(scope))
+                values.append(self.value(scope, kind))
             self.need(")")
             out = left.isin(*values)
         elif negated:
             raise SqlError("NOT goes with LIKE, IN and BETWEEN")
         else:
             op = self.get("op")
-            right = self.value(scope)
+            right = self.value(scope, kind)
             try:
                 out = {"=": left == right, "!=": left != right, "<>": left != right, "<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}[op]
             except KeyError:
@@ -298,6 +337,9 @@ class _Parser:
             b = self.name()
             if b in qualified.columns:
                 a, b = b, a
+            if a not in qualified.columns or b not in right.columns:
+                raise SqlError(f"no column {a if a not in qualified.columns else b}")
+            self._like_kind(_kind(qualified.schema[a].dataType), _kind(right.schema[b].dataType))
             qualified = qualified.join(right, F.col(f"`{a}`") == F.col(f"`{b}`"))
         df = df if qualified is None else qualified
 
@@ -308,6 +350,11 @@ class _Parser:
                 return F.col(f"`{name.split('.', 1)[1]}`")
             raise SqlError(f"no column {name}")
 
+        def kind(name: str) -> str | None:
+            plain = name if name in df.columns else name.split(".", 1)[-1]
+            return _kind(df.schema[plain].dataType) if plain in df.columns else "a number"
+
+        scope.kind = kind
         clauses = Clauses()
         self.s.pending.append([])
         where = self.condition(scope, clauses) if self.take("where") else None
@@ -454,11 +501,9 @@ class Session:
             raise SqlError(f"MATCH needs an inverted index on {column}")
         asked = X.query_terms(self.spark, {"q": words}, self.language, self.stemming)
         kept = base.indexes[column]
-        if "postings" not in kept:
-            kept["postings"] = cut(X.postings(base.df, base.key, column, self.language, self.stemming))
-        n = base.df.count()
-        rank = X.bm25_postings if method == "BM25" else X.tfidf
-        hits = rank(kept["postings"], asked, n, max(n, 1))
+        if "postings" not in kept:  # built once for each version of the table
+            kept["postings"] = X.TextIndex.of(base.df, base.key, column, self.language, self.stemming)
+        hits = kept["postings"].bm25(asked) if method == "BM25" else kept["postings"].tfidf(asked)
         return df.join(hits.select(F.col("id").alias("__id"), F.col("score").alias("__score")), F.col(f"`{base.key}`") == F.col("__id")).drop("__id")
 
     def similar(self, df: DataFrame, base: Table, asked: str, k: int, method: str, metric: str) -> DataFrame:
@@ -474,7 +519,7 @@ class Session:
 
             index = base.indexes[column].setdefault("ivf", None) or Ivf(base.df, base.key, column)
             base.indexes[column]["ivf"] = index
-            near = index.search(vector, max(k, base.df.count()), 8, metric).select(F.col(base.key).alias("__id"))
+            near = index.cells_near(vector, 8).select(F.col(base.key).alias("__id"))
             rows = rows.join(near, F.col(f"`{base.key}`") == F.col("__id"), "left_semi")
         rows = rows.withColumn("__distance", V.DISTANCES[metric](F.col("__vector"), V.literal(vector))).drop("__vector")
         near = rows.orderBy("__distance", F.col(f"`{base.key}`")).limit(k)
@@ -562,15 +607,7 @@ class Session:
             raise SqlError("as many values as columns")
         row = []
         for f, v in zip(df.schema.fields, values, strict=True):
-            size = f.metadata.get("bytes")
-            if isinstance(f.dataType, T.StringType):
-                if not isinstance(v, str):
-                    raise SqlError(f"{f.name} takes text")
-                if size and len(v.encode()) > size:
-                    raise SqlError(f"{f.name} takes {size} bytes")
-            elif isinstance(v, str):
-                raise SqlError(f"{f.name} takes no text")
-            row.append(float(v) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else v)
+            row.append(_assigned(f, v))
         self._replace(name, N.insert(df, [tuple(row)], self.tables[name].key))
 
     def _update(self, p) -> None:
@@ -584,6 +621,7 @@ class Session:
             values[column] = p.value(lambda n: (_ for _ in ()).throw(SqlError(f"{n} is no literal")))
             if column not in df.columns:
                 raise SqlError(f"no column {column}")
+            values[column] = _assigned(df.schema[column], values[column])
             if not p.take(","):
                 break
         where, deferred = self._where(p, df)
@@ -606,6 +644,7 @@ class Session:
                 raise SqlError(f"no column {name}")
             return F.col(f"`{name.split('.')[-1]}`")
 
+        scope.kind = lambda name: _kind(df.schema[name.split(".")[-1]].dataType)
         self.pending.append([])
         where = p.condition(scope, None) if p.take("where") else None
         return where, self.pending.pop()

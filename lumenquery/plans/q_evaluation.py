@@ -39,13 +39,13 @@ def query_word_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(V.word_group(F.col("p_name")).alias("words")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("judged_sample", """WITH j AS (SELECT DISTINCT l_suppkey AS query_id, l_partkey AS p, max(l_quantity) > 40 AS relevant FROM lineitem WHERE l_suppkey < 10 GROUP BY ALL),
+@query("judged_sample", """WITH j AS (SELECT DISTINCT l_suppkey AS query_id, l_partkey AS p, max(l_quantity) > 40 AS relevant FROM lineitem GROUP BY ALL),
     c AS (SELECT DISTINCT p FROM (SELECT p, relevant, row_number() OVER (PARTITION BY query_id, relevant ORDER BY md5('42' || p), p) AS n FROM j) WHERE n <= CASE WHEN relevant THEN 5 ELSE 3 END),
-    r AS (SELECT p_partkey AS p FROM part WHERE p_partkey NOT IN (SELECT p FROM j) ORDER BY md5('42' || p_partkey), p_partkey LIMIT (SELECT greatest(0, 150 - count(*)) FROM c))
+    r AS (SELECT p_partkey AS p FROM part WHERE p_partkey NOT IN (SELECT p FROM j) ORDER BY md5('42' || p_partkey), p_partkey LIMIT (SELECT greatest(0, 2500 - count(*)) FROM c))
     SELECT p, true AS core FROM c UNION ALL SELECT p, false FROM r""")
 def judged_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = table(spark, sf_dir, "lineitem").where("l_suppkey < 10").groupBy(F.col("l_suppkey").alias("query_id"), F.col("l_partkey").alias("p")).agg((F.max("l_quantity") > 40).alias("relevant"))
-    return V.judged_sample(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p")), j, "p", 150, 5, 3)
+    j = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("query_id"), F.col("l_partkey").alias("p")).agg((F.max("l_quantity") > 40).alias("relevant"))
+    return V.judged_sample(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p")), j, "p", 2500, 5, 3)
 
 
 @query("stores_per_product", """WITH c AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey), m AS (SELECT min(n) AS a, max(n) AS b FROM c)

@@ -46,22 +46,22 @@ def affinity_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     few AS (SELECT u FROM bought GROUP BY u HAVING count(*) <= 50), kept AS (SELECT * FROM bought WHERE u IN (SELECT u FROM few)),
     pairs AS (SELECT x.i AS a, y.i AS b, count(*) AS support FROM kept x JOIN kept y ON x.u = y.u AND x.i < y.i GROUP BY ALL),
     more AS (SELECT DISTINCT least(f.i, e.i) AS a, greatest(f.i, e.i) AS b, 1 AS support FROM fresh f, (SELECT i FROM had UNION SELECT i FROM fresh) e WHERE f.i <> e.i)
-    SELECT a, b, CAST(sum(support) AS BIGINT) AS support FROM (SELECT * FROM pairs UNION ALL SELECT * FROM more) WHERE a <= 3 OR b <= 3 GROUP BY a, b""")
+    SELECT a, b, CAST(sum(support) AS BIGINT) AS support FROM (SELECT * FROM pairs UNION ALL SELECT * FROM more) GROUP BY a, b""")
 def affinity_after_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
     bought = _bought(spark, sf_dir)
     _, pairs = C.add_purchase(C.buyers(bought, "u", "i"), C.supports(bought, "u", "i"), bought, 7, [1, 2, 3], "u", "i")
-    return pairs.where("a <= 3 OR b <= 3")
+    return pairs
 
 
-_SIGNALS = """sig AS (SELECT 'price' AS signal, p_partkey AS id, p_retailprice AS score FROM part WHERE p_size < 5 UNION ALL
-    SELECT 'size', p_partkey, CAST(p_size AS DOUBLE) FROM part WHERE p_partkey % 7 = 0 UNION ALL SELECT 'sold', l_partkey, sum(l_quantity) / 1000 FROM lineitem WHERE l_partkey % 5 = 0 GROUP BY l_partkey)"""
+_SIGNALS = """sig AS (SELECT 'price' AS signal, p_partkey AS id, p_retailprice AS score FROM part UNION ALL
+    SELECT 'size', p_partkey, CAST(p_size AS DOUBLE) FROM part UNION ALL SELECT 'sold', l_partkey, sum(l_quantity) / 1000 FROM lineitem GROUP BY l_partkey)"""
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, li = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
-    price = p.where("p_size < 5").select(F.lit("price").alias("signal"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score"))
-    size = p.where("p_partkey % 7 = 0").select(F.lit("size").alias("signal"), F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("score"))
-    sold = li.where("l_partkey % 5 = 0").groupBy(F.col("l_partkey").alias("id")).agg((F.sum("l_quantity") / 1000).alias("score")).select(F.lit("sold").alias("signal"), "id", "score")
+    price = p.select(F.lit("price").alias("signal"), F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("score"))
+    size = p.select(F.lit("size").alias("signal"), F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("score"))
+    sold = li.groupBy(F.col("l_partkey").alias("id")).agg((F.sum("l_quantity") / 1000).alias("score")).select(F.lit("sold").alias("signal"), "id", "score")
     return price.unionByName(size).unionByName(sold)
 
 

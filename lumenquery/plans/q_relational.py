@@ -37,10 +37,10 @@ def filter_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").where((F.col("l_tax") > F.col("l_discount")) & (F.col("l_quantity") < 3)).select("l_orderkey", "l_partkey", "l_tax", "l_discount")
 
 
-@query("filter_like", r"SELECT p_partkey, p_name FROM part WHERE regexp_full_match(p_name, '[^\n]*1[^\n][^\n]*') AND NOT regexp_full_match(p_type, 'PROMO[^\n]*')")
+@query("filter_like", r"SELECT p_partkey, p_name FROM part WHERE regexp_full_match(p_name, '[^\n]*r[^\n]d[^\n]*') AND NOT regexp_full_match(p_type, 'PROMO[^\n]*')")
 def filter_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    return p.where(R.like(F.col("p_name"), "%1_%") & ~R.like(F.col("p_type"), "PROMO%")).select("p_partkey", "p_name")
+    return p.where(R.like(F.col("p_name"), "%r_d%") & ~R.like(F.col("p_type"), "PROMO%")).select("p_partkey", "p_name")
 
 
 @query("filter_in_list", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus NOT IN ('F')")
@@ -70,9 +70,9 @@ def in_limited_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("not_in_subquery", """SELECT p_partkey, p_brand FROM part WHERE p_partkey NOT IN
-    (SELECT l_partkey FROM lineitem WHERE l_quantity > 25)""")
+    (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)""")
 def not_in_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sold = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") > 25).select("l_partkey")
+    sold = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") > 49).select("l_partkey")
     return R.in_subquery(table(spark, sf_dir, "part"), "p_partkey", sold, negated=True).select("p_partkey", "p_brand")
 
 
@@ -173,11 +173,11 @@ def left_join_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(o, c.c_custkey == o.o_custkey, "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"), F.coalesce("top", F.lit(0.0)).alias("top_price"))
 
 
-@query("missing_keys", "SELECT l_partkey AS key FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part) GROUP BY l_partkey")
+@query("missing_keys", "SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY c_custkey")
 def missing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("key")).distinct()
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"))
-    return keys.join(p, "key", "left_anti")
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")).distinct()
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("key"))
+    return keys.join(urgent, "key", "left_anti")
 
 
 @query("interval_overlap_join", """WITH spans AS (SELECT event_id, user_id, event_type, epoch_us(ts) / 1000000.0 AS s, epoch_us(ts) / 1000000.0 + 900 AS e FROM events)

@@ -26,12 +26,12 @@ def delete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.delete(table(spark, sf_dir, "supplier"), (F.col("s_acctbal") < 1000) | F.col("s_nationkey").isin(3, 4))
 
 
-_HISTORY = "h AS (SELECT user_id AS xact, event_id % 40 AS resource, CASE WHEN event_type IN ('purchase', 'signup') THEN 'X' ELSE 'S' END AS mode, event_id AS ts FROM events WHERE user_id < 25 AND event_id < 600)"
+_HISTORY = "h AS (SELECT user_id AS xact, event_id % 400 AS resource, CASE WHEN event_type IN ('purchase', 'signup') THEN 'X' ELSE 'S' END AS mode, event_id AS ts FROM events)"
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("user_id < 25 AND event_id < 600")
-    return e.select(F.col("user_id").alias("xact"), (F.col("event_id") % 40).alias("resource"), F.when(F.col("event_type").isin("purchase", "signup"), "X").otherwise("S").alias("mode"), F.col("event_id").alias("ts"))
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("xact"), (F.col("event_id") % 400).alias("resource"), F.when(F.col("event_type").isin("purchase", "signup"), "X").otherwise("S").alias("mode"), F.col("event_id").alias("ts"))
 
 
 @query("precedence_graph", f"""WITH {_HISTORY} SELECT DISTINCT a.xact AS before, b.xact AS "after" FROM h a JOIN h b ON a.resource = b.resource AND a.xact <> b.xact AND a.ts < b.ts AND NOT (a.mode = 'S' AND b.mode = 'S')""")
@@ -51,9 +51,9 @@ def html_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", I.clean_html(F.col("html")).alias("text"))
 
 
-@query("utf8_clip", r"""WITH c AS (SELECT doc_id, text, unnest(range(18, 31)) AS n FROM documents WHERE doc_id < 200) SELECT doc_id, max(left(text, n)) AS head FROM c WHERE octet_length(encode(left(text, n))) <= 30 GROUP BY doc_id HAVING max(n) IS NOT NULL""")
+@query("utf8_clip", r"""WITH c AS (SELECT doc_id, text, unnest(range(18, 31)) AS n FROM documents) SELECT doc_id, max(left(text, n)) AS head FROM c WHERE octet_length(encode(left(text, n))) <= 30 GROUP BY doc_id HAVING max(n) IS NOT NULL""")
 def utf8_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("doc_id < 200").select("doc_id", I.utf8_clip(F.col("text"), 30).alias("head"))
+    return table(spark, sf_dir, "documents").select("doc_id", I.utf8_clip(F.col("text"), 30).alias("head"))
 
 
 @query("inferred_types", "SELECT * FROM (VALUES ('n_chars', 'int', 4), ('price', 'double', 8)) v(name, type, size)")
