@@ -2,13 +2,14 @@
 
 Matches carry no positions in SQL, so a pattern is applied twice, once to split a text and once to
 extract: positions are the running lengths of both. High-recall generators propose further spans,
-which may overlap each other; each is described by a few small integers of format and context.
-Boosted trees are fitted to the counts of (features, label) over all candidates of all documents:
-that table's size is bounded by the features' ranges, not by the corpus. A label says whether a
-candidate is a strict match; the features leave out what the strict pattern hinges on (the plus sign
-of a phone number, the @ of an address, the checksum of a card), so candidates that look like
-strict matches in all other respects are found too. A threshold calibrated to a precision on the
-labels selects the spans that are added.
+which may overlap each other; each is described by a few small integers of format and of context.
+Two views teach each other, so that neither learns the strict patterns by heart. Boosted trees on the
+context (words before, sign before and after) are fitted to whether a candidate is a strict match;
+what they say of a context is then the label that boosted trees on the format (digits, groups,
+separators, length) are fitted to. A candidate's score is the sum of both. The fits use counts of
+(features, label) over all candidates of all documents, half of the texts for the trees and half for
+the thresholds, one a generator; the count table's size is bounded by the features' ranges, not by
+the corpus.
 """
 
 from __future__ import annotations
@@ -113,9 +114,10 @@ def base_spans(text: Column) -> Column:
 
 # ---- candidates
 
-#: Feature names and ranges: the count table has at most the product of the ranges as rows.
-RANGES = {"shape": 4, "n_digits": 7, "n_groups": 3, "seps": 4, "length": 4, "cue": 5, "bounded": 2}
+#: Feature names and ranges: the count table has at most the product of the ranges as rows, twice.
+RANGES = {"shape": 3, "n_digits": 7, "n_groups": 3, "seps": 4, "length": 4, "cue": 5, "opened": 2, "bounded": 2}
 FEATURES = tuple(RANGES)
+CONTEXT, FORMAT = ("cue", "opened", "bounded"), ("shape", "n_digits", "n_groups", "seps", "length")
 CUES = {1: r"e-?mail|mail|contact|write", 2: r"\bip\b|host|server|addr", 3: r"card|visa|iban|account|payment", 4: r"phone|tel\b|call|fax|mobile|cell"}
 
 
@@ -130,6 +132,7 @@ def _features(c: Column, text: Column) -> Column:
     cue_text = F.lower(F.substring(text, F.greatest(c["start"] - 23, F.lit(1)).cast("int"), F.least(c["start"], F.lit(24)).cast("int")))
     cue = reduce(lambda acc, k: F.when(cue_text.rlike(CUES[k]), F.lit(k)).otherwise(acc), sorted(CUES, reverse=True), F.lit(0))
     after = F.substring(text, (c["end"] + 1).cast("int"), F.lit(1))
+    before = F.substring(text, c["start"].cast("int"), F.when(c["start"] > 0, 1).otherwise(0))
     seps = F.when(hit.rlike(r"[()]"), 3).when(hit.rlike(r"[0-9]\.[0-9]"), 1).when(hit.rlike(r"[0-9][\x20-][0-9]"), 2).otherwise(0)
     return F.struct(
         c["shape"].alias("shape"),
@@ -138,6 +141,7 @@ def _features(c: Column, text: Column) -> Column:
         seps.alias("seps"),
         _binned(F.length(hit), (8, 12, 18)).alias("length"),
         cue.alias("cue"),
+        ((before == "") | before.rlike(r"[\s(\"':=]")).cast("int").alias("opened"),
         ((after == "") | after.rlike(r"[\s,.;:!?)\"']")).cast("int").alias("bounded"),
     )
 
@@ -191,7 +195,7 @@ class Tree:
 LEAST_ROWS = 10  # candidates on either side of a split
 
 
-def _best_split(rows, grads, hess):
+def _best_split(rows, grads, hess, names):
     """The split of least loss by second-order gain; None if nothing separates the rows.
 
     A side has LEAST_ROWS candidates or more: what is rare and looks like a strict match is judged
@@ -199,8 +203,9 @@ def _best_split(rows, grads, hess):
     """
     g, h = sum(grads), sum(hess)
     best = (1e-9, None)
-    for name, width in RANGES.items():
-        gs, hs, ns = [0.0] * width, [0.0] * width, [0] * width
+    for name in names:
+        width = RANGES[name]
+        gs, hs, ns = [0.0] * width, [0.0] * width, [0.0] * width
         for r, a, b in zip(rows, grads, hess, strict=True):
             gs[r[name]] += a
             hs[r[name]] += b
@@ -216,8 +221,8 @@ def _best_split(rows, grads, hess):
     return best[1]
 
 
-def fit(counts: list[dict], rounds: int = 30, rate: float = 0.4) -> tuple[float, list[Tree]]:
-    """Boosted trees for the log odds of label 1, from rows of features with n0 and n1."""
+def fit(counts: list[dict], names: tuple[str, ...] = FEATURES, rounds: int = 30, rate: float = 0.4) -> tuple[float, list[Tree]]:
+    """Boosted trees on the named features for the log odds of label 1, from rows with n0 and n1."""
     n1, n0 = sum(r["n1"] for r in counts), sum(r["n0"] for r in counts)
     bias = math.log((n1 + 1) / (n0 + 1))
     score = [bias] * len(counts)
@@ -226,13 +231,13 @@ def fit(counts: list[dict], rounds: int = 30, rate: float = 0.4) -> tuple[float,
         p = [1 / (1 + math.exp(-s)) for s in score]
         grads = [r["n1"] - (r["n1"] + r["n0"]) * q for r, q in zip(counts, p, strict=True)]
         hess = [(r["n1"] + r["n0"]) * q * (1 - q) for r, q in zip(counts, p, strict=True)]
-        root = _best_split(counts, grads, hess)
+        root = _best_split(counts, grads, hess, names)
         if root is None:
             break
         splits, leaves = [], []
         for side in (True, False):
             idx = [i for i, r in enumerate(counts) if (r[root[0]] <= root[1]) == side]
-            split = _best_split([counts[i] for i in idx], [grads[i] for i in idx], [hess[i] for i in idx]) or root
+            split = _best_split([counts[i] for i in idx], [grads[i] for i in idx], [hess[i] for i in idx], names) or root
             splits.append(split)
             for low in (True, False):
                 part = [i for i in idx if (counts[i][split[0]] <= split[1]) == low]
@@ -243,29 +248,31 @@ def fit(counts: list[dict], rounds: int = 30, rate: float = 0.4) -> tuple[float,
     return bias, trees
 
 
-def calibrate(counts: list[dict], bias: float, trees: list[Tree], precision: float = 0.9) -> float:
-    """The threshold on log odds: halfway between the least score down to which the labelled candidates
+def calibrate(counts: list[dict], score, precision: float = 0.9) -> float:
+    """The threshold on a score: halfway between the least score down to which the labelled candidates
     have this precision and the next score below; infinite if there is none."""
-    groups: dict[float, list[int]] = {}
+    groups: dict[float, list[float]] = {}
     for r in counts:
-        pair = groups.setdefault(bias + sum(t.value(r) for t in trees), [0, 0])
+        pair = groups.setdefault(score(r), [0, 0])
         pair[0] += r["n0"]
         pair[1] += r["n1"]
     scores = sorted(groups, reverse=True)
-    good = bad = 0
+    good = bad = 0.0
     best = math.inf
     for i, s in enumerate(scores):
         bad, good = bad + groups[s][0], good + groups[s][1]
-        if good >= precision * (good + bad):
+        if good and good >= precision * (good + bad):
             best = (s + scores[i + 1]) / 2 if i + 1 < len(scores) else s
     return best
 
 
 @dataclass(frozen=True)
 class Model:
+    """Bias, the trees of both views, and a threshold for each generator."""
+
     bias: float
     trees: tuple[Tree, ...]
-    threshold: float
+    thresholds: tuple[float, ...]
 
     def log_odds(self, features: Column) -> Column:
         total = F.lit(float(self.bias))
@@ -273,19 +280,56 @@ class Model:
             total = total + t.column(lambda name: features[name])
         return total
 
+    def value(self, row: dict) -> float:
+        total = self.bias  # summed in the order of log_odds, so that equal candidates score alike in both
+        for t in self.trees:
+            total += t.value(row)
+        return total
+
+    def chosen(self, features: Column) -> Column:
+        """Whether a candidate reaches its generator's threshold."""
+        open_ = [(i, t) for i, t in enumerate(self.thresholds) if not math.isinf(t)]
+        if not open_:
+            return F.lit(False)
+        score = self.log_odds(features)
+        return reduce(lambda acc, it: acc | ((features["shape"] == it[0]) & (score >= it[1])), open_, F.lit(False))
+
+
+SURE = 8.0  # log odds that a view's labels are cut to
+
+
+def learned(rows: list[dict], precision: float = 0.9) -> Model:
+    """The model of count rows: features, fold (0 for trees, 1 for thresholds), n0 and n1.
+
+    Thresholds are for a precision among a generator's candidates of the held-out fold, in which a
+    strict match counts as one and another candidate as what its context alone says.
+    """
+    fitted, held = [r for r in rows if not r["fold"]], [r for r in rows if r["fold"]]
+    if not any(r["n1"] for r in fitted) or not any(r["n1"] for r in held):
+        return Model(0.0, (), (math.inf,) * len(GENERATORS))
+    bias, context = fit(fitted, CONTEXT)
+
+    def told(r: dict) -> float:
+        z = bias + sum(t.value(r) for t in context)
+        return 1 / (1 + math.exp(-max(-SURE, min(SURE, z))))
+
+    soft = [r | {"n1": (r["n0"] + r["n1"]) * told(r), "n0": (r["n0"] + r["n1"]) * (1 - told(r))} for r in fitted]
+    prior, shape = fit(soft, FORMAT)
+    trees = (*context, *shape)
+    plain = Model(prior, trees, ())
+    judged = [r | {"n1": r["n1"] + r["n0"] * told(r), "n0": r["n0"] * (1 - told(r))} for r in held]
+    return Model(prior, trees, tuple(calibrate([r for r in judged if r["shape"] == i], plain.value, precision) for i in range(len(GENERATORS))))
+
 
 def train(docs: DataFrame, text_col: str = "text", precision: float = 0.9) -> Model:
     """Fit on the candidates of every document; only their (features, label) counts reach the driver."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(text.alias("text")).where(F.col("text").rlike(WORTH))
-    found = slim.select("text", base_spans(F.col("text")).alias("base")).select(F.explode(candidates(F.col("text"), F.col("base"))).alias("c"))
+    found = slim.select("text", base_spans(F.col("text")).alias("base"), (F.crc32(F.col("text").cast("binary")) % 2).cast("int").alias("fold"))
+    found = found.select("fold", F.explode(candidates(F.col("text"), F.col("base"))).alias("c"))
     label = (F.col("c.kind") >= 0).cast("int")
-    counts = found.groupBy(*[F.col("c.f")[n].alias(n) for n in FEATURES]).agg(F.sum(label).alias("n1"), F.sum(1 - label).alias("n0")).orderBy(*FEATURES)
-    rows = [r.asDict() for r in counts.collect()]
-    if not rows:
-        return Model(0.0, (), math.inf)
-    bias, trees = fit(rows)
-    return Model(bias, tuple(trees), calibrate(rows, bias, trees, precision))
+    counts = found.groupBy(*[F.col("c.f")[n].alias(n) for n in FEATURES], "fold").agg(F.sum(label).alias("n1"), F.sum(1 - label).alias("n0")).orderBy(*FEATURES, "fold")
+    return learned([r.asDict() for r in counts.collect()], precision)
 
 
 def find(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -298,9 +342,9 @@ def find(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     worth = text.rlike(WORTH)
     none = F.array().cast("array<struct<start:long,ord:int,end:long>>")
     marked = docs.withColumn("base_spans", F.when(worth, base_spans(text)).otherwise(none))
-    if math.isinf(model.threshold):
+    if all(math.isinf(t) for t in model.thresholds):
         return marked.withColumn("all_spans", F.col("base_spans"))
-    chosen = F.filter(candidates(text, F.col("base_spans")), lambda c: (c["kind"] < 0) & (model.log_odds(c["f"]) >= model.threshold))
+    chosen = F.filter(candidates(text, F.col("base_spans")), lambda c: (c["kind"] < 0) & model.chosen(c["f"]))
     added = F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), F.when(c["f"]["shape"] == 0, 4).otherwise(5).alias("ord"), c["end"].alias("end")))
     return marked.withColumn("all_spans", F.when(worth, F.array_sort(F.array_distinct(F.concat(F.col("base_spans"), added)))).otherwise(none))
 
