@@ -33,6 +33,25 @@ def containment(mine: Column, other: Column) -> Column:
     return F.when(size > 0, F.size(F.array_intersect(mine, other)) / size).otherwise(0.0)
 
 
+def contained(passages: DataFrame, passage: str, texts: DataFrame, text: str, words: str, least: float) -> DataFrame:
+    """(passage, text, share): texts that have at least a share of a passage's distinct words.
+
+    Words are arrays. A text with a share t of n words has one of any n - ceil(t n) + 1 of them, so
+    each passage is looked for by its rarest words only, and common words join nothing.
+    """
+    own = passages.select(F.col(passage).alias("__p"), F.array_distinct(words).alias("__pw")).where(F.size("__pw") > 0)
+    held = texts.select(F.col(text).alias("__t"), F.array_distinct(words).alias("__tw"))
+    asked = own.select("__p", F.size("__pw").alias("n"), F.explode("__pw").alias("word"))
+    vocabulary = asked.select("word").distinct()
+    met = held.select("__t", F.explode_outer("__tw").alias("word")).join(vocabulary, "word", "left_semi")
+    counts = met.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("__p").orderBy(F.coalesce("df", F.lit(0)), "word")
+    rare = asked.join(counts, "word", "left").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1)
+    pairs = rare.select("__p", "word").join(met, "word").select("__p", "__t").distinct()
+    share = F.size(F.array_intersect("__pw", "__tw")) / F.size("__pw")
+    return pairs.join(own, "__p").join(held, "__t").withColumn("share", share).where(F.col("share") >= least).select(F.col("__p").alias(passage), F.col("__t").alias(text), "share")
+
+
 def word_group(text: Column) -> Column:
     """'1', '3' or '5+' words; other lengths have no group."""
     n = F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != ""))

@@ -43,7 +43,9 @@ def scored_pairs(pairs: DataFrame, counts: DataFrame, item: str) -> DataFrame:
 
 def neighbours(scored: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """(source, target, score, support): the k nearest items of each, by score, support, then id."""
-    both = scored.select(F.col("a").alias("source"), F.col("b").alias("target"), "score", "support").unionByName(scored.select(F.col("b").alias("source"), F.col("a").alias("target"), "score", "support"))
+    # both directions of a pair from one row, so the pairs are scored once
+    ways = F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("target")), F.struct(F.col("b").alias("source"), F.col("a").alias("target")))
+    both = scored.select(F.explode(ways).alias("w"), "score", "support").select("w.source", "w.target", "score", "support")
     order = Window.partitionBy("source").orderBy(F.desc("score"), F.desc("support"), "target")
     return both.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= k).drop("__place")
 
@@ -170,9 +172,13 @@ def unique_titles(df: DataFrame, title: str, reviews: str, key: str) -> DataFram
 
 def quotas(counts: dict[str, int], n: int) -> dict[str, int]:
     """The highest common ceiling whose capped counts stay within n; small groups enter whole."""
-    ceiling = 0
-    while counts and ceiling < max(counts.values()) and sum(min(c, ceiling + 1) for c in counts.values()) <= n:
-        ceiling += 1
+    left, ceiling, sizes = n, 0, sorted(counts.values())
+    for i, c in enumerate(sizes):
+        fair = left // (len(sizes) - i)
+        if c > fair:  # all larger groups share what is left alike
+            ceiling = fair
+            break
+        left, ceiling = left - c, c
     return {k: min(c, ceiling) for k, c in counts.items()}
 
 

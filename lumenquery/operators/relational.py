@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lumenquery.session import Scratch
+
 
 def like(column: Column, pattern: str) -> Column:
     """LIKE without an escape sign, matching the whole string; wildcards do not match line ends."""
@@ -63,22 +65,53 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_span:
 def nth_from_quantile(df: DataFrame, column: str, share: float) -> float | None:
     """The value at index min(n - 1, floor(n * share)) of the sorted non-null values; None if there are none.
 
-    Values are counted first, so only distinct values are ranked.
+    Only counts and bounds reach the driver until few enough values are left to sort.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    n = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    scratch = Scratch(df.sparkSession)
+    try:
+        return _nth(scratch.store(df.where(F.col(column).isNotNull()).select(F.col(column).alias("v"))), share)
+    finally:
+        scratch.close()
+
+
+def _nth(known: DataFrame, share: float) -> float | None:
+    n = known.count()
     if not n:
         return None
     place = min(n - 1, int(n * share))
-    # narrow to one slice of the values by approximate bounds, then rank exactly inside it
-    low, high = max(0.0, share - 0.02), min(1.0, share + 0.02)
-    lo, hi = df.where(F.col(column).isNotNull()).agg(F.percentile_approx(column, F.array(F.lit(low), F.lit(high)), 1000)).first()[0]
-    below = counts.where(F.col(column) < lo).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    inside = counts.where(F.col(column).between(lo, hi)).withColumn("upto", F.sum("n").over(Window.orderBy(column)) + below)
-    hit = inside.where(F.col("upto") > place).orderBy(column).select(column).first()
-    if below > place or hit is None:
-        hit = counts.withColumn("upto", F.sum("n").over(Window.orderBy(column))).where(F.col("upto") > place).orderBy(column).select(column).first()
-    return float(hit[0])
+    # an interval of approximate quantiles is counted exactly and narrowed until few values are left
+    edges = lambda rows, a, b: rows.agg(F.percentile_approx("v", F.array(F.lit(max(0.0, a)), F.lit(min(1.0, b))), 10_000)).first()[0]
+    low, high = known.agg(F.min("v"), F.max("v")).first()
+    below = 0  # values under low
+    while True:
+        inside = known.where(F.col("v").between(low, high))
+        size = inside.count()
+        if size <= EXACT:
+            return float(inside.orderBy("v").limit(place - below + 1).agg(F.max("v")).first()[0])
+        at = (place - below + 0.5) / size
+        lo, hi = edges(inside, at - 0.001, at + 0.001)
+        if lo == hi or (lo == low and hi == high):
+            # one value stands there, or nothing narrows: count what is around it
+            under = inside.where(F.col("v") < lo).count()
+            if below + under > place:
+                high = inside.where(F.col("v") < lo).agg(F.max("v")).first()[0]
+            elif below + under + inside.where(F.col("v") == lo).count() > place:
+                return float(lo)
+            else:
+                below += inside.where(F.col("v") <= lo).count()
+                low = inside.where(F.col("v") > lo).agg(F.min("v")).first()[0]
+            continue
+        under = inside.where(F.col("v") < lo).count()
+        if below + under > place:  # the approximation was too high
+            high = inside.where(F.col("v") < lo).agg(F.max("v")).first()[0]
+        elif below + inside.where(F.col("v") <= hi).count() <= place:  # or too low
+            below += inside.where(F.col("v") <= hi).count()
+            low = inside.where(F.col("v") > hi).agg(F.min("v")).first()[0]
+        else:
+            below, low, high = below + under, lo, hi
+
+
+EXACT = 100_000  # values that are sorted to read one of them
 
 
 def largest_remainder(df: DataFrame, key: str, weight: str, seats: int) -> DataFrame:

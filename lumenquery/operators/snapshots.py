@@ -13,6 +13,10 @@ class KeyConflict(ValueError):
     """A primary key would repeat."""
 
 
+class WriteConflict(RuntimeError):
+    """Another writer committed a version that this one doesn't know."""
+
+
 def insert(df: DataFrame, rows: list[tuple], key: str) -> DataFrame:
     """df with rows in column order; a key that is there already, or twice among them, is an error."""
     new = df.sparkSession.createDataFrame(rows, df.schema)
@@ -46,11 +50,16 @@ class SnapshotTable:
     def __init__(self, spark: SparkSession, path: str, key: str):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
         self.pending: str | None = None
+        self.based: str | None = None
 
     def _pointers(self):
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_log")
         fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(s.getPath().toString() for s in fs.listStatus(hadoop)) if fs.exists(hadoop) else []
+        if not fs.exists(hadoop):
+            return []
+        # a folder without its mark is still being written
+        done = lambda s: fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
+        return sorted(s.getPath().toString() for s in fs.listStatus(hadoop) if done(s))
 
     def version(self) -> str | None:
         found = self._pointers()
@@ -66,11 +75,16 @@ class SnapshotTable:
         """Write a version that nobody sees yet; sorted by key if asked, so that key filters skip files."""
         folder = f"v-{uuid.uuid4().hex}"
         out = df.repartitionByRange(self.key).sortWithinPartitions(self.key) if sort else df
+        self.based = self.based if self.pending else self.version()
         out.write.parquet(f"{self.path}/{folder}")
         self.pending = folder
 
     def commit(self) -> None:
+        """Make the staged version current; a version that another writer committed meanwhile is an error."""
         if self.pending:
+            if self.version() != self.based:
+                self.pending = None
+                raise WriteConflict("another writer committed a version meanwhile")
             name = f"{self.path}/_log/{time.time_ns():020d}"
             self.spark.createDataFrame([(json.dumps({"folder": self.pending}),)], "value string").coalesce(1).write.text(name)
             self.pending = None
