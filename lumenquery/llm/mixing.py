@@ -53,15 +53,15 @@ def _source_key(source):
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
-def _place(ident):
-    """Where a document stands in its source's shuffled order."""
-    return F.coalesce(F.md5(ident.cast("string")), F.lit(""))
+def _place(ident, text):
+    """Where a document stands in its source's shuffled order; documents without an id stand by their text."""
+    return F.coalesce(F.md5(ident.cast("string")), F.md5(F.concat(F.lit("text:"), F.coalesce(text, F.lit("")))))
 
 
 def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, max_epochs: int) -> DataFrame:
     """(id, source_key, place, size, source_size, target, epochs, rest) of every document."""
     ident = F.col(id_col)
-    slim = cut(docs.select(ident.alias("id"), _source_key(F.col(source_col)).alias("source_key"), word_count(F.col(text_col)).alias("size"), _place(ident).alias("place")))
+    slim = cut(docs.select(ident.alias("id"), _source_key(F.col(source_col)).alias("source_key"), word_count(F.col(text_col)).alias("size"), _place(ident, F.col(text_col)).alias("place")))
     rows = slim.count()
     bits = min(30, max(1, math.ceil(math.log2(math.sqrt(rows + 1)))))
     head = F.coalesce(F.conv(F.substring("place", 1, 8), 16, 10).cast("long"), F.lit(0))
@@ -101,14 +101,18 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     A source's decision is its number of whole epochs and the last place of the shuffled order that
     the next one reaches, so documents need no join but with one row per source. The document at the
-    cut is given whole. Documents without words are not taken. Columns stay as they are.
+    cut is given whole. Documents without words are not taken; null ids stand by their text, a null
+    source is a source; documents of one id stand and fall together. Columns stay as they are.
     """
     run = _taken(docs, id_col, text_col, source_col, weights, max_epochs)
-    cuts = cut(run.groupBy(F.col("source_key").alias("__source")).agg(F.max("epochs").alias("__epochs"), F.coalesce(F.max(F.when(F.col("rest") > 0, F.col("place"))), F.lit("")).alias("__cut")))
+    cuts = cut(run.groupBy(F.col("source_key").alias("source")).agg(F.max("epochs").alias("epochs"), F.coalesce(F.max(F.when(F.col("rest") > 0, F.col("place"))), F.lit("")).alias("cut")))
     if cuts.count() <= BROADCAST_SOURCES:
         cuts = F.broadcast(cuts)
-    keyed = docs.withColumn("__key", _source_key(F.col(source_col)))
-    both = keyed.join(cuts, keyed["__key"] == cuts["__source"])
-    again = (F.col("__cut") != "") & (_place(F.col(id_col)) <= F.col("__cut"))
-    times = F.when(word_count(F.col(text_col)) > 0, F.col("__epochs") + again.cast("long")).otherwise(F.lit(0))
-    return both.withColumn("__n", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*[F.col(c) for c in docs.columns])
+    # the row is packed, so that columns of any name stay apart from these
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    words = word_count(F.col(text_col))
+    keyed = docs.select(row, _source_key(F.col(source_col)).alias("source"), _place(F.col(id_col), F.col(text_col)).alias("place"), words.alias("words"))
+    both = keyed.join(cuts, "source")
+    again = (F.col("cut") != "") & (F.col("place") <= F.col("cut"))
+    times = F.when(F.col("words") > 0, F.col("epochs") + again.cast("long")).otherwise(F.lit(0))
+    return both.select("row", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select("row.*")

@@ -354,10 +354,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     groups = near_duplicates(docs, id_col, text_col, width, similarity)
     place = F.struct(F.col("id").isNotNull().alias("known"), F.col("id"), F.col("h1"), F.col("h2"))
-    kept = groups.groupBy("c1", "c2").agg(F.min(place).alias("p")).select(F.col("p.id").alias("__id"), F.col("p.h1").alias("__h1"), F.col("p.h2").alias("__h2"))
+    kept = groups.groupBy("c1", "c2").agg(F.min(place).alias("p")).select(F.col("p.id").alias("id"), F.col("p.h1").alias("h1"), F.col("p.h2").alias("h2"))
     h1, h2 = text_keys(F.col(text_col))
-    keyed = docs.withColumns({"__k1": h1, "__k2": h2})
-    out = keyed.join(kept, (keyed["__k1"] == kept["__h1"]) & (keyed["__k2"] == kept["__h2"]) & keyed[id_col].eqNullSafe(kept["__id"]), "left_semi")
+    # the row is packed, so that columns of any name stay apart from these
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.col(id_col).alias("id"), h1.alias("h1"), h2.alias("h2"))
+    out = keyed.join(kept, (keyed.h1 == kept.h1) & (keyed.h2 == kept.h2) & keyed.id.eqNullSafe(kept.id), "left_semi")
     if groups.where("copies > 1").limit(1).count():
-        out = out.dropDuplicates([id_col, "__k1", "__k2"])
-    return out.drop("__k1", "__k2")
+        out = out.dropDuplicates(["id", "h1", "h2"])
+    return out.select("row.*")
