@@ -151,7 +151,7 @@ def beginnings(word: str) -> list[str]:
 class Restorer:
     """Words of texts as restored, with a bounded memory of words seen."""
 
-    KEPT = 400_000
+    KEPT = 150_000
 
     def __init__(self, cost: np.ndarray):
         self.cost = cost.tolist()
