@@ -113,6 +113,38 @@ def combine(signals: DataFrame, weights: dict[str, float]) -> DataFrame:
     return fuse(signals, weights).select("id", "total")
 
 
+#: Shares of the signals of search and of recommendation (fixed values).
+SEARCH = {"lexical": 0.4, "semantic": 0.4, "popularity": 0.2}
+SIMILAR = {"visual": 1.0, "text": 1.0, "metadata": 1.0, "purchases": 1.0}
+
+
+def hybrid_search(lexical: DataFrame, semantic: DataFrame, counts: DataFrame, item: str, k: int, weights: dict[str, float] | None = None) -> DataFrame:
+    """(id, total) of the k best by words, meaning and ln(1 + buyers) of what either found.
+
+    lexical and semantic are (id, score), repeated ids count with their best; counts is (item, buyers).
+    """
+    best = lambda df, name: df.groupBy("id").agg(F.max("score").alias("score")).select(F.lit(name).alias("signal"), "id", F.col("score").cast("double").alias("score"))
+    found = best(lexical, "lexical").unionByName(best(semantic, "semantic"))
+    ids = found.select("id").distinct()
+    bought = counts.select(F.col(item).alias("id"), F.col("buyers").cast("double").alias("buyers"))
+    popular = ids.join(bought, "id", "left").select(F.lit("popularity").alias("signal"), "id", F.log1p(F.coalesce("buyers", F.lit(0.0))).alias("score"))
+    return combine(found.unionByName(popular), weights or SEARCH).limit(k)
+
+
+def recommend(anchor, visual: DataFrame, lexical: DataFrame, semantic: DataFrame, metadata: DataFrame, purchases: DataFrame, k: int, weights: dict[str, float] | None = None, purchase_scale: float | None = None) -> DataFrame:
+    """The k items most like an anchor by four signals, with each signal's part, share and place.
+
+    Every signal is (id, score). Words and meaning are brought to [0, 1] and count half each as the
+    text signal; purchases are held against the catalogue's scale if it is given. The anchor itself is
+    left out, and weights of signals without rows go to the others.
+    """
+    as_rows = lambda df, name: df.where(F.col("id") != F.lit(anchor)).select(F.lit(name).alias("signal"), "id", F.col("score").cast("double").alias("score"))
+    halves = normalised(as_rows(lexical, "lexical").unionByName(as_rows(semantic, "semantic")))
+    text = halves.groupBy("id").agg((F.sum("value") / 2).alias("score"))
+    signals = as_rows(visual, "visual").unionByName(as_rows(text, "text")).unionByName(as_rows(metadata, "metadata")).unionByName(as_rows(purchases, "purchases"))
+    return fuse(signals, weights or SIMILAR, {"purchases": purchase_scale} if purchase_scale else None).limit(k)
+
+
 # ---- attributes
 
 

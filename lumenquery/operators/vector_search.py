@@ -75,11 +75,35 @@ def batch_nearest(df: DataFrame, queries: DataFrame, k: int, key: str = "vec_id"
 class Ivf:
     """An inverted-file index: rows carry the cell of their nearest centroid, searches read a few cells."""
 
-    def __init__(self, df: DataFrame, key: str = "vec_id", vec_col: str = "embedding", cells: int | None = None, iterations: int = 8):
+    def __init__(self, df: DataFrame, key: str = "vec_id", vec_col: str = "embedding", cells: int | None = None, iterations: int = 8, centroids: np.ndarray | None = None):
         self.key, self.vec_col = key, vec_col
-        self.cells = cells or max(1, math.isqrt(df.count()))
-        self.centroids = kmeans(df, key, vec_col, self.cells, iterations=iterations)
-        self.rows = assign(df, vec_col, self.centroids, "cell")
+        self.cells = cells or (len(centroids) if centroids is not None else max(1, math.isqrt(df.count())))
+        self.centroids = kmeans(df, key, vec_col, self.cells, iterations=iterations) if centroids is None else centroids
+        self.rows = df if "cell" in df.columns else assign(df, vec_col, self.centroids, "cell")
+
+    # ---- maintenance: a changed index is a new one over the same centroids
+
+    def _of(self, rows: DataFrame) -> Ivf:
+        return Ivf(rows, self.key, self.vec_col, centroids=self.centroids)
+
+    def insert(self, rows: DataFrame) -> Ivf:
+        """With more rows, each in the cell nearest to it; a key that is there already is an error."""
+        if self.rows.join(rows.select(self.key), self.key, "left_semi").limit(1).count():
+            raise ValueError(f"{self.key} repeats")
+        return self._of(self.rows.unionByName(assign(rows.select(*[c for c in self.rows.columns if c != "cell"]), self.vec_col, self.centroids, "cell")))
+
+    def delete(self, keys: DataFrame) -> Ivf:
+        """Without the rows of some keys."""
+        return self._of(self.rows.join(keys.select(self.key).distinct(), self.key, "left_anti"))
+
+    def synchronised(self, source: DataFrame) -> Ivf:
+        """As the source is now: rows that it lost go, new ones and those whose vector changed are assigned."""
+        mark = F.xxhash64(F.col(self.vec_col).cast("array<double>"))
+        now, held = source.select(self.key, mark.alias("__now")), self.rows.select(self.key, mark.alias("__held"))
+        same = now.join(held, self.key).where("__now = __held").select(self.key)
+        kept = self.rows.join(same, self.key, "left_semi")
+        fresh = source.join(same, self.key, "left_anti").select(*[c for c in self.rows.columns if c != "cell"])
+        return self._of(kept.unionByName(assign(fresh, self.vec_col, self.centroids, "cell")))
 
     def search(self, vector, k: int, probes: int = 8, metric: str = "cosine") -> DataFrame:
         """The k nearest rows of the cells whose centroids are nearest; the cell filter prunes partitions of a stored index."""
@@ -91,7 +115,27 @@ class Ivf:
         return self.rows.where(F.col("cell").isin(np.lexsort((np.arange(len(d)), d))[:probes].tolist()))
 
     def write(self, path: str) -> None:
-        self.rows.write.partitionBy("cell").parquet(path)
+        """Rows by cell, and the centroids beside them."""
+        self.rows.write.partitionBy("cell").parquet(f"{path}/rows")
+        table = [(i, [float(x) for x in c], self.key, self.vec_col) for i, c in enumerate(self.centroids)]
+        self.rows.sparkSession.createDataFrame(table, "cell int, centroid array<double>, key string, vec_col string").coalesce(1).write.parquet(f"{path}/centroids")
+
+    @classmethod
+    def read(cls, spark, path: str) -> Ivf:
+        """A written index; searches read the folders of a few cells."""
+        table = sorted(spark.read.parquet(f"{path}/centroids").collect(), key=lambda r: r.cell)
+        return cls(spark.read.parquet(f"{path}/rows"), table[0].key, table[0].vec_col, centroids=np.array([r.centroid for r in table]))
+
+
+_KEPT: dict[tuple, Ivf] = {}
+
+
+def index_of(df: DataFrame, key: str, vec_col: str, cells: int | None = None) -> Ivf:
+    """One index for a table's plan, built once in an application; all metrics search the same cells."""
+    mark = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), tuple(sorted(df.inputFiles())), key, vec_col, cells)
+    if mark not in _KEPT:
+        _KEPT[mark] = Ivf(df, key, vec_col, cells)
+    return _KEPT[mark]
 
 
 def recall(found: DataFrame, exact: DataFrame, key: str = "vec_id") -> DataFrame:

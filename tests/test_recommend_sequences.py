@@ -223,3 +223,55 @@ def test_densest_window(spark):
     df = spark.createDataFrame([("a", 0.0, 1.0, 1.0), ("a", 5.0, 6.0, 2.0), ("a", 9.0, 12.0, 9.0), ("a", 11.0, 13.0, 1.0)], "k string, s double, e double, w double")
     row = Q.densest_window(df, "k", "s", "e", "w", 10.0).first()
     assert (row.start, row.total) == (5.0, 12.0)
+
+
+def scores(spark, rows):
+    return spark.createDataFrame([(i, float(x)) for i, x in rows.items()], "id int, score double")
+
+
+def test_recommend(spark):
+    """Against the formula: min-max a signal, text as the mean of words and meaning, equal weights, purchases by scale."""
+    visual, words, meaning, meta, bought = {1: 1.0, 2: 0.9, 3: 0.1, 4: 0.5}, {2: 10, 3: 30}, {2: 0.5, 4: 0.25}, {2: 0.2, 3: 0.4, 4: 1.0}, {3: 0.5, 4: 0.05}
+    got = {r.id: r for r in C.recommend(1, *[scores(spark, x) for x in (visual, words, meaning, meta, bought)], k=10, purchase_scale=0.25).collect()}
+    unit = lambda rows: {i: 1.0 if max(rows.values()) == min(rows.values()) else (x - min(rows.values())) / (max(rows.values()) - min(rows.values())) for i, x in rows.items()}
+    text = Counter()
+    for half in (words, meaning):
+        for i, x in unit(half).items():
+            text[i] += x / 2
+    parts = [unit({i: x for i, x in visual.items() if i != 1}), unit(text), unit(meta), {i: min(1, x / 0.25) for i, x in bought.items()}]
+    want = {i: sum(p.get(i, 0) for p in parts) / 4 for i in (2, 3, 4)}
+    assert got.keys() == want.keys() and all(abs(got[i].total - want[i]) < 1e-9 for i in want)
+    assert [r.id for r in C.recommend(1, *[scores(spark, x) for x in (visual, words, meaning, meta, bought)], k=2, purchase_scale=0.25).collect()] == sorted(want, key=lambda i: -want[i])[:2]
+
+
+def test_hybrid_search(spark):
+    counts = spark.createDataFrame([(1, 100), (2, 3)], "i int, buyers long")
+    out = C.hybrid_search(scores(spark, {1: 5, 2: 9}), scores(spark, {2: 0.5, 3: 0.9}), counts, "i", 3).collect()
+    popular = {i: math.log1p(n) / math.log1p(100) for i, n in ((1, 100), (2, 3), (3, 0))}
+    want = {1: 0.2 * popular[1], 2: 0.4 + 0.2 * popular[2], 3: 0.4}
+    assert [r.id for r in out] == sorted(want, key=lambda i: -want[i]) and all(abs(r.total - want[r.id]) < 1e-9 for r in out)
+
+
+def test_index_maintenance(spark, tmp_path):
+    from lumenquery.operators import vector_search as S
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 4))
+    frame = lambda ids, v: spark.createDataFrame([(int(i), [float(y) for y in v[i]]) for i in ids], "vec_id long, embedding array<double>")
+    index = S.Ivf(frame(range(150), x), cells=8)
+    nearest = lambda ix, q, n=8: [r.vec_id for r in ix.search(q.tolist(), 5, n, "euclidean").collect()]
+    exact = lambda ids, q: sorted(ids, key=lambda i: (np.linalg.norm(x[i] - q), i))[:5]
+    grown = index.insert(frame(range(150, 200), x))
+    assert nearest(grown, x[170]) == exact(range(200), x[170])
+    with pytest.raises(ValueError):
+        grown.insert(frame([3], x))
+    less = grown.delete(spark.createDataFrame([(170,), (999,)], "vec_id long"))
+    assert nearest(less, x[170]) == exact([i for i in range(200) if i != 170], x[170])
+    moved = x.copy()
+    moved[5] = x[170] + 0.001
+    now = frame([*range(100), *range(160, 200)], moved)
+    x = moved
+    assert nearest(less.synchronised(now), moved[170]) == exact([*range(100), *range(160, 200)], moved[170])
+    grown.write(str(tmp_path / "ix"))
+    again = S.Ivf.read(spark, str(tmp_path / "ix"))
+    assert nearest(again, moved[20], 3) == nearest(grown, moved[20], 3)
