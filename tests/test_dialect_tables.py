@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenquery.operators import snapshots as N
+from lumenquery.operators.snapshots import SnapshotTable, WriteConflict
 from lumenquery.plans.dialect import Session, SqlError, lex
 from lumenquery.sources import ingest as I
 from lumenquery.streaming import windows as W
@@ -155,3 +156,42 @@ def test_json_and_media(spark, tmp_path):
     assert I.read_media(spark, str(tmp_path), "*.jsonl").count() == 1
     I.write(spark.range(3), str(tmp_path / "out"), "csv")
     assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 3
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT * FROM t WHERE n = 'x'", "SELECT * FROM t WHERE s > 3", "SELECT * FROM t WHERE n LIKE 'a%'", "SELECT * FROM t WHERE n BETWEEN 1 AND 'b'", "SELECT * FROM t WHERE s IN ('a', 2)",
+        "SELECT * FROM t WHERE at = 3", "SELECT * FROM t WHERE n IN (SELECT s FROM t)", "SELECT * FROM t WHERE n = s", "SELECT * FROM t JOIN u ON t.s = u.n", "UPDATE t SET s = 4", "UPDATE t SET n = 'four'",
+        "UPDATE t SET s = 'much too long'", "INSERT INTO v VALUES ('x', 'y')",
+    ],
+)
+def test_types_are_checked(spark, text):
+    s = Session(spark)
+    s.execute("CREATE TABLE v (id INT PRIMARY KEY, s VARCHAR(5))")
+    s.register("t", spark.createDataFrame([(1, "a", {"lat": 1.0, "lon": 2.0})], "n int, s string, at struct<lat:double,lon:double>"), "n")
+    s.register("u", spark.createDataFrame([(1, "a")], "n int, s string"), "n")
+    with pytest.raises(SqlError):
+        s.execute(text.replace("UPDATE t SET s = 'much too long'", "UPDATE v SET s = 'much too long'"))
+
+
+def test_matching_types_pass(spark):
+    s = Session(spark)
+    s.register("t", spark.createDataFrame([(1, "a", 2.5), (2, "b", 0.5)], "n int, s string, x double"), "n")
+    assert s.execute("SELECT n FROM t WHERE n < x AND s IN ('a', 'b') AND x BETWEEN 1 AND 3").collect()[0][0] == 1
+    assert s.execute("SELECT n FROM t WHERE s LIKE 'b%' AND n >= 1.5").count() == 1
+
+
+def test_two_writers_conflict(spark, tmp_path):
+    path = str(tmp_path / "table")
+    a, b = SnapshotTable(spark, path, "k"), SnapshotTable(spark, path, "k")
+    a.stage(spark.range(3).toDF("k"))
+    a.commit()
+    a.stage(spark.range(4).toDF("k"))
+    b.stage(spark.range(5).toDF("k"))
+    b.commit()
+    with pytest.raises(WriteConflict):
+        a.commit()
+    assert a.read().count() == 5
+    (tmp_path / "table" / "_log" / "99999999999999999999").mkdir()  # a pointer that is still being written
+    assert b.read().count() == 5

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -63,3 +64,14 @@ def test_purchase(spark):
             V.purchase(ops, after, "r", user, what)
     with pytest.raises(V.PurchaseConflict):
         V.purchase(ops, after, "s", 7, items)
+
+
+def test_contained_equals_all_pairs(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(12)] + ["the"] * 6
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    left, right = {i: some(rng.randrange(1, 8)) for i in range(20)}, {i: some(rng.randrange(0, 30)) for i in range(25)}
+    frame = lambda rows, name: spark.createDataFrame(list(rows.items()), f"{name} int, w array<string>")
+    got = {(r.p, r.t): r.share for r in V.contained(frame(left, "p"), "p", frame(right, "t"), "t", "w", 0.6).collect()}
+    share = lambda a, b: len({*a} & {*b}) / len({*a})
+    assert got == {(p, t): share(a, b) for p, a in left.items() for t, b in right.items() if share(a, b) >= 0.6}

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +61,13 @@ def test_components(spark):
     assert out[3] == out[2] == out[1] == 1 and out[5] == out[4] == 4 and out[14] == 10 and 9 not in out
     assert {out[100 + i] for i in range(41)} == {100}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_nth_by_narrowing(spark, monkeypatch):
+    """With few values to sort at once, a hot value and ties are narrowed to the same place as sorting gives."""
+    monkeypatch.setattr(R, "EXACT", 40)
+    rng = random.Random(1)
+    for values in ([rng.random() for _ in range(700)], [5.0] * 400 + [rng.gauss(5, 1) for _ in range(300)], [float(rng.randrange(6)) for _ in range(500)], [1.0] * 300):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        for share in (0.0, 0.37, 0.5, 0.99, 1.0):
+            assert R.nth_from_quantile(df, "v", share) == sorted(values)[min(len(values) - 1, int(len(values) * share))]

@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -86,3 +87,31 @@ def test_snippet(spark):
     out = spark.createDataFrame([(text,), ("short",), ("c" * 200,)], "t string").select(T.snippet(F.col("t"), ["palabra"])).collect()
     assert out[0][0].startswith("...") and "palabra" in out[0][0] and len(out[0][0]) == 166
     assert out[1][0] == "short" and out[2][0] == "c" * 160 + "..."
+
+
+@pytest.mark.parametrize("stemming", [False, True])
+def test_stored_index_equals_plain_ranking(spark, tmp_path, stemming):
+    rng = random.Random(2)
+    words = ["running", "runner", "houses", "house", "green", "greens", "blue", "w7", "licensed", "license"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 30)))) for i in range(60)]
+    spark.createDataFrame(rows, "id long, t string").write.parquet(str(tmp_path / "d.parquet"))
+    df = spark.read.parquet(str(tmp_path / "d.parquet"))
+    index = X.TextIndex.of(df, "id", "t", "english", stemming)
+    assert X.TextIndex.of(spark.read.parquet(str(tmp_path / "d.parquet")), "id", "t", "english", stemming) is index
+    assert X.TextIndex.of(df.where("id < 9"), "id", "t", "english", stemming) is not index
+    asked = X.query_terms(spark, {"a": "running house house", "b": "license", "c": "absent"}, "english", stemming)
+    plain = X.postings(df, "id", "t", "english", stemming)
+    assert sorted(tuple(r) for r in index.postings.select("id", "term", "tf").collect()) == sorted(tuple(r) for r in plain.collect())
+    table = lambda d: {(r.query, r.id): round(r.score, 9) for r in d.collect()}
+    assert table(index.bm25(asked)) == table(X.bm25_postings(plain, asked, 60, 100))
+    assert table(index.tfidf(asked)) == table(X.tfidf(plain, asked, 60, 100))
+    assert [r.place for r in index.bm25(asked.where("query = 'a'"), 3).orderBy("place").collect()] == [1, 2, 3]
+    empty = X.TextIndex(df.limit(0), "id", "t", "english", stemming)
+    assert empty.bm25(asked, 5).count() == 0 and empty.dictionary().count() == 0
+
+
+def test_surface_forms(spark):
+    df = spark.createDataFrame([(1, "licensed license licenses house"), (2, "Licenses licenses houses")], "id int, t string")
+    forms = {r.stem: r.forms for r in X.surface_forms(X.surfaces(df, "id", "t", "english")).collect()}
+    assert forms == {"licens": ["licenses", "license", "licensed"], "hous": ["house", "houses"]}
+    assert {r.stem: r.surface for r in X.first_surfaces(df, "id", "t", 1, "english").collect()} == {"licens": "licensed", "hous": "house"}
