@@ -171,3 +171,27 @@ def test_cut_copies_at_the_similarity_and_above(spark):
     want = brute_components(texts)
     assert len(want) == 90
     assert found_components(spark, texts) == want
+
+
+def test_classes_equal_brute_force(spark):
+    """Components over whole documents: copies, edited copies in chains, short and empty texts."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(12):
+        words = [rng.choice("abcdefghij") + str(rng.randrange(50)) for _ in range(rng.randrange(1, 400))]
+        for _ in range(12):
+            texts.append(" ".join(words))
+            words = [*words]
+            words[rng.randrange(len(words))] = f"x{rng.randrange(99)}"
+    texts += ["", None, "  ", "One", "one", texts[0], texts[0].upper()]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    docs = spark.createDataFrame([(i, texts[k]) for i, k in enumerate(order)], "doc_id long, text string")
+    fps = [brute_fingerprint(texts[k]) for k in order]
+    groups = {}
+    for i, root in enumerate(components(fps)):
+        groups.setdefault(root, []).append(i)
+    least = {i: min(g) for g in groups.values() for i in g}
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.simhash_classes(docs).collect()}
+    assert got == {i: (f"{fps[i]:016x}", least[i]) for i in range(len(order))}
+    assert len(groups) < len(order) - 20
