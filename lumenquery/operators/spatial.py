@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenquery.functions import spatial as S
+from lumenquery.session import Scratch
 
 
 def radius(df: DataFrame, lat: str, lon: str, point: tuple[float, float], meters: float, metric: str = "haversine", strict: bool = False) -> DataFrame:
@@ -69,17 +70,19 @@ def map_sample(df: DataFrame, key: str, lat: str, lon: str, limit: int) -> DataF
     """At most `limit` evenly spaced rows in key order, each with the bounding box of all rows."""
     box = df.agg(F.min(lat).alias("lat_low"), F.max(lat).alias("lat_high"), F.min(lon).alias("lon_low"), F.max(lon).alias("lon_high"), F.count(F.lit(1)).alias("n")).first()
     step = max(1, math.ceil(box.n / limit))
-    order = df.select(key).rdd.getNumPartitions()
-    ranked = df.repartitionByRange(max(1, order), key) if order > 1 else df
-    # ranks without one big window: rows before each partition, then places inside it
-    ranked = ranked.withColumn("__part", F.spark_partition_id())
+    parts = df.select(key).rdd.getNumPartitions()
+    by = F.col(key).asc_nulls_last()
+    # ranks without one big window: rows before each partition, then places inside it. The partition of
+    # a row is stored with it, since a plan that runs again may deal rows to other partitions
+    scratch = Scratch(df.sparkSession)
+    ranked = scratch.store((df.repartitionByRange(parts, by) if parts > 1 else df.coalesce(1)).withColumn("__part", F.spark_partition_id()))
     counts = {r["__part"]: r["count"] for r in ranked.groupBy("__part").count().collect()}
-    before, total = {}, 0
+    before, total = [], 0
     for part in sorted(counts):
-        before[part], total = total, total + counts[part]
-    if not before:
-        return df.withColumns({"lat_low": F.lit(None).cast("double"), "lat_high": F.lit(None).cast("double"), "lon_low": F.lit(None).cast("double"), "lon_high": F.lit(None).cast("double")})
-    starts = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1 + starts[F.col("__part")]
-    out = ranked.withColumn("__place", place).where(F.col("__place") % step == 0).drop("__place", "__part")
+        before.append((part, total))
+        total += counts[part]
+    starts = F.broadcast(df.sparkSession.createDataFrame(before, "__part int, __start long"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(by)) - 1 + F.col("__start")
+    picked = ranked.join(starts, "__part").withColumn("__place", place).where(F.col("__place") % step == 0)
+    out = picked.select(*[F.col(f"`{c}`") for c in df.columns])
     return out.withColumns({c: F.lit(box[c]) for c in ("lat_low", "lat_high", "lon_low", "lon_high")})

@@ -56,3 +56,21 @@ def test_map_sample(spark):
     rows = S.map_sample(df, "k", "lat", "lon", 100).collect()
     assert sorted(r.k for r in rows) == list(range(0, 1000, 10)) and rows[0].lat_high == 999.0
     assert S.map_sample(df.limit(0), "k", "lat", "lon", 5).count() == 0
+
+
+def test_map_sample_of_many_files(spark, tmp_path):
+    rows = spark.range(60_000).select(F.pmod(F.col("id") * 7919, F.lit(60_000)).alias("k"))
+    rows = rows.unionByName(spark.createDataFrame([(None,)], "k long"))
+    rows.select("k", F.col("k").cast("double").alias("lat"), (-F.col("k")).cast("double").alias("lon")).repartition(12).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        # many partitions, which a plan that only counts them coalesces otherwise than one that carries rows
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
+        got = S.map_sample(df, "k", "lat", "lon", 100).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(r.k for r in got) == list(range(0, 60_000, 601)) and {r.lat_high for r in got} == {59_999.0}
