@@ -1,10 +1,12 @@
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lumenquery.operators import snapshots as N
 from lumenquery.operators.snapshots import SnapshotTable, WriteConflict
+from lumenquery.plans import registry
 from lumenquery.plans.dialect import Session, SqlError, lex
 from lumenquery.sources import ingest as I
 from lumenquery.streaming import windows as W
@@ -136,6 +138,15 @@ def test_utf8_clip(spark, text, size):
     assert got == text.encode()[:size].decode(errors="ignore")
 
 
+def test_utf8_clip_query_equals_its_sql_on_odd_texts(spark, tmp_path):
+    texts = [(1, "日本語" * 20), (2, "é" * 40), (3, "é" * 15), (4, "plain text of more than thirty bytes"), (5, None), (6, ""), (7, "日本語" * 3), (8, "twice b"), (8, "twice a"), (None, "no id"), (9, "🙂" * 7 + "abc")]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(path)
+    want = duckdb.sql(registry.ORACLES["utf8_clip"].replace("FROM documents", f"FROM read_parquet('{path}/*.parquet')")).fetchall()
+    got = rows(registry.QUERIES["utf8_clip"](spark, str(tmp_path)).select("doc_id", "head"))
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) == 6
+
+
 def test_streams(spark, tmp_path):
     df = spark.createDataFrame([("2024-01-01 00:00:00", "a", 1.0), ("2024-01-01 00:20:00", "a", 2.0), ("2024-01-01 03:00:00", "b", 3.0)], "ts string, k string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
     df.write.parquet(str(tmp_path / "in"))
