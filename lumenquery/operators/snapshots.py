@@ -6,7 +6,11 @@ import json
 import time
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from lumenquery.session import Scratch
 
 
 class KeyConflict(ValueError):
@@ -101,6 +105,11 @@ class SnapshotTable:
 # ---- schedules
 
 
+def _accesses(history: DataFrame) -> DataFrame:
+    """history without the rows that no pair can hold, and whether each writes: any mode but S conflicts with X."""
+    return history.where("xact IS NOT NULL AND resource IS NOT NULL AND ts IS NOT NULL").select("xact", "resource", "ts", F.coalesce(F.col("mode") != "S", F.lit(False)).alias("writes"))
+
+
 def precedence(history: DataFrame) -> DataFrame:
     """(before, after): transactions whose accesses to a resource conflict, in order of time.
 
@@ -114,10 +123,77 @@ def precedence(history: DataFrame) -> DataFrame:
     return met.select("before", "after").distinct()
 
 
+def _direct(history: DataFrame, scratch: Scratch) -> DataFrame:
+    """(before, after): precedences that reach what all of `precedence` reach, about two an access.
+
+    Every access follows the writes that came last before it, and every write also the reads since
+    then; what lies further back is reached through those writes. Accesses of one time do not precede
+    each other.
+    """
+    times = _accesses(history).groupBy("resource", "ts").agg(F.collect_set(F.when(F.col("writes"), F.col("xact"))).alias("writers"), F.collect_set(F.when(~F.col("writes"), F.col("xact"))).alias("readers"))
+    order = Window.partitionBy("resource").orderBy("ts")
+    wrote = F.when(F.size("writers") > 0, F.col("ts"))
+    times = times.withColumn("since", F.max(wrote).over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("now", F.max(wrote).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    times = scratch.store(times)
+    side = lambda who, when, name: times.select("resource", F.col(when).alias("at"), F.explode(who).alias(name))
+    everyone = F.array_union("writers", "readers")
+    written = side(F.col("writers"), "ts", "before").join(side(everyone, "since", "after"), ["resource", "at"])
+    r, w = side(F.col("readers"), "now", "before"), side(F.col("writers"), "since", "after")
+    read = r.join(w, (r["resource"] == w["resource"]) & r["at"].eqNullSafe(w["at"]))
+    return written.select("before", "after").unionByName(read.select("before", "after")).where("before <> after").distinct()
+
+
+LOCAL_EDGES = 1 << 21  # precedences that the driver sorts itself, as numbers
+
+
+def _cyclic(edges: pa.Table) -> bool:
+    """Whether a graph of (before, after) rows has a cycle."""
+    a, b = (edges.column(c).combine_chunks() for c in ("before", "after"))
+    ids = pa.concat_arrays([a, b]).dictionary_encode().indices.to_numpy()
+    a, b, n = ids[: len(a)], ids[len(a) :], int(ids.max(initial=-1)) + 1
+    order = np.argsort(a, kind="stable")
+    ahead, cuts, waiting = b[order], np.searchsorted(a[order], np.arange(n + 1)), np.bincount(b, minlength=n)
+    ready, done = np.flatnonzero(waiting == 0).tolist(), 0
+    while ready:
+        x = ready.pop()
+        done += 1
+        for y in ahead[cuts[x] : cuts[x + 1]].tolist():
+            waiting[y] -= 1
+            if not waiting[y]:
+                ready.append(y)
+    return done < n
+
+
+def serializable(history: DataFrame) -> bool:
+    """Whether the precedences of a history have no cycle.
+
+    Works on about two precedences an access, not on all. Two transactions before each other are a
+    cycle at once. Else transactions that nothing precedes, or that precede nothing, are taken off
+    until none is left, or none can be; the driver sees no more than LOCAL_EDGES of what remains.
+    """
+    scratch = Scratch(history.sparkSession)
+    try:
+        edges = scratch.store(_direct(history, scratch))
+        pair = edges.groupBy(F.least("before", "after").alias("a"), F.greatest("before", "after").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        if pair.where("n > 1").limit(1).count():
+            return False
+        n = edges.count()
+        while n > LOCAL_EDGES:
+            led = edges.join(edges.select(F.col("after").alias("before")).distinct(), "before", "left_semi")
+            kept = scratch.store(led.join(led.select(F.col("before").alias("after")).distinct(), "after", "left_semi").select("before", "after"))
+            scratch.free(edges)
+            edges, before, n = kept, n, kept.count()
+            if n == before:
+                return False
+        return not _cyclic(edges.toArrow())
+    finally:
+        scratch.close()
+
+
 def serial_order(edges: DataFrame) -> list | None:
     """A serial order of the transactions, or None if the graph has a cycle.
 
-    The graph of a schedule has one node a transaction, so it is sorted on the driver.
+    The order and the edges are held on the driver; `serializable` only tells whether there is one.
     """
     rows = [(r.before, r.after) for r in edges.collect()]
     nodes = sorted({x for e in rows for x in e}, key=str)

@@ -1,4 +1,5 @@
 import json
+import random
 
 import duckdb
 import pytest
@@ -121,6 +122,39 @@ def test_schedules(spark):
     assert locks.acquire(1, "a", "X")
 
 
+def test_serializable_of_any_history(spark, monkeypatch):
+    rng = random.Random(11)
+    kinds = "xact long, resource string, mode string, ts int"
+    seen = set()
+    for n in range(4):
+        if n % 2:  # transactions one after another on shared resources
+            h = [(x, rng.choice("abc"), rng.choice("SX"), 3 * x + k) for x in range(12) for k in range(2)]
+        else:
+            h = [(rng.randrange(5), rng.choice("abcd"), rng.choice("SSX"), rng.randrange(30)) for _ in range(24)]
+        df = spark.createDataFrame(h, kinds)
+        want = N.serial_order(N.precedence(df)) is not None
+        for most in (0, 1 << 21):
+            monkeypatch.setattr(N, "LOCAL_EDGES", most)
+            assert N.serializable(df) is want
+        seen.add(want)
+    # a cycle of three without one of two, and a read and write of one transaction, which is none
+    ring = [(1, "a", "X", 1), (2, "a", "X", 2), (2, "b", "X", 3), (3, "b", "X", 4), (3, "c", "X", 5), (1, "c", "X", 6)]
+    own = [(1, "a", "S", 1), (1, "a", "X", 2), (1, "a", "S", 3)]
+    for most in (0, 1 << 21):
+        monkeypatch.setattr(N, "LOCAL_EDGES", most)
+        assert not N.serializable(spark.createDataFrame(ring, kinds)) and N.serializable(spark.createDataFrame(own, kinds))
+        assert N.serializable(spark.createDataFrame([], kinds))
+    assert seen == {True, False}
+
+
+def test_serializable_collects_no_precedences_of_all_pairs(spark, monkeypatch):
+    # 300 readers of one resource before 300 writers of it: 90 000 precedences by readers, 300 and 300 direct ones
+    h = spark.range(600).select(F.col("id").alias("xact"), F.lit("r").alias("resource"), F.when(F.col("id") < 300, "S").otherwise("X").alias("mode"), F.col("id").alias("ts"))
+    sizes = []
+    monkeypatch.setattr(N, "_cyclic", lambda edges, run=N._cyclic: sizes.append(edges.num_rows) or run(edges))
+    assert N.serializable(h) and sizes == [599]
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "x.csv").write_text('sku,nombre,descripcion,precio\n1,Laptop,"con ""comillas"", y coma",10.5\n2,,,3\n3,Ñandú,' + "ñ" * 3000 + ",7\n", encoding="utf-8")
     df = I.read_csv(spark, str(tmp_path / "x.csv"), ["nombre", "descripcion"], "sku", ["precio"])
