@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+import math
 import time
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from lumenquery.session import Scratch
+from lumenquery.session import Scratch, ship
 
 
 class KeyConflict(ValueError):
@@ -105,22 +107,102 @@ class SnapshotTable:
 # ---- schedules
 
 
+CELL_ROWS = 1 << 20  # accesses of one side of a cell
+TILE = 8192  # transactions whose bits are held at once, on either side of a cell
+
+
 def _accesses(history: DataFrame) -> DataFrame:
     """history without the rows that no pair can hold, and whether each writes: any mode but S conflicts with X."""
     return history.where("xact IS NOT NULL AND resource IS NOT NULL AND ts IS NOT NULL").select("xact", "resource", "ts", F.coalesce(F.col("mode") != "S", F.lit(False)).alias("writes"))
 
 
+def _codes(*columns: pa.ChunkedArray) -> list[np.ndarray]:
+    """Columns of one type as integers in their common order, nulls as -1."""
+    known = [c.is_valid().to_numpy() for c in columns]
+    found = np.unique(np.concatenate([c.drop_null().to_numpy() for c in columns]), return_inverse=True)[1].astype(np.int64)
+    out = []
+    for k in known:
+        code = np.full(len(k), -1, dtype=np.int64)
+        code[k], found = found[: k.sum()], found[k.sum() :]
+        out.append(code)
+    return out
+
+
+def _mark(bits: np.ndarray, rows: np.ndarray, first: np.ndarray, columns: np.ndarray, last: np.ndarray) -> None:
+    """Set bits (row, column) wherever first < last; a resource's accesses, -1 for none.
+
+    Columns by falling time and the union of the bits of each number of them: a row takes one union,
+    so the work is accesses times the width of a tile, not pairs of accesses.
+    """
+    rows, first, columns, last = rows[first >= 0], first[first >= 0], columns[last >= 0], last[last >= 0]
+    if not len(rows) or not len(columns):
+        return
+    order = np.argsort(-last, kind="stable")
+    columns, last = columns[order], last[order]
+    unions = np.zeros((len(columns) + 1, bits.shape[1]), dtype=np.uint64)
+    unions[np.arange(1, len(columns) + 1), columns // 64] = np.uint64(1) << (columns % 64).astype(np.uint64)
+    np.bitwise_or.accumulate(unions, axis=0, out=unions)
+    bits[rows] |= unions[len(last) - np.searchsorted(last[::-1], first, side="right")]
+
+
+def _cell_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(before, after) of the accesses of one cell, each pair once."""
+    t = pa.Table.from_batches(list(batches))
+    names = t.column("xact").combine_chunks().dictionary_encode()
+    who, kinds = names.indices.to_numpy().astype(np.int64), names.dictionary
+    what = t.column("resource").combine_chunks().dictionary_encode().indices.to_numpy()
+    written, touched = _codes(t.column("written"), t.column("touched"))
+    later = t.column("later").to_numpy()
+    del t
+    sides = []
+    for side in (False, True):
+        own = np.flatnonzero(later == side)
+        xacts, at = np.unique(who[own], return_inverse=True)
+        own = own[np.lexsort((what[own], at // TILE))]
+        at = np.searchsorted(xacts, who[own])
+        sides.append((xacts, at, what[own], written[own], touched[own], np.searchsorted(at // TILE, np.arange(len(xacts) // TILE + 2))))
+    (ax, a_at, a_what, a_written, a_touched, a_cuts), (bx, b_at, b_what, b_written, b_touched, b_cuts) = sides
+    for i in range(len(a_cuts) - 1):
+        for j in range(len(b_cuts) - 1):
+            a, b = slice(a_cuts[i], a_cuts[i + 1]), slice(b_cuts[j], b_cuts[j + 1])
+            bits = np.zeros((len(ax[i * TILE : (i + 1) * TILE]), -(-len(bx[j * TILE : (j + 1) * TILE]) // 64)), dtype=np.uint64)
+            if not bits.size:
+                continue
+            both = np.intersect1d(a_what[a], b_what[b])
+            edges = [np.searchsorted(w[s], both, side=x) + s.start for w, s in ((a_what, a), (b_what, b)) for x in ("left", "right")]
+            for a0, a1, b0, b1 in zip(*[e.tolist() for e in edges], strict=True):
+                rows, columns = a_at[a0:a1] - i * TILE, b_at[b0:b1] - j * TILE
+                _mark(bits, rows, a_written[a0:a1], columns, b_touched[b0:b1])
+                _mark(bits, rows, a_touched[a0:a1], columns, b_written[b0:b1])
+            for r in range(0, len(bits), 64):
+                flat = np.unpackbits(bits[r : r + 64].view(np.uint8), axis=1, bitorder="little")
+                x, y = np.nonzero(flat)
+                x, y = ax[x + r + i * TILE], bx[y + j * TILE]
+                x, y = x[x != y], y[x != y]
+                for k in range(0, len(x), 1 << 16):
+                    yield pa.record_batch([kinds.take(pa.array(v[k : k + (1 << 16)])) for v in (x, y)], names=["before", "after"])
+
+
 def precedence(history: DataFrame) -> DataFrame:
     """(before, after): transactions whose accesses to a resource conflict, in order of time.
 
     history is (xact, resource, mode, ts) with modes S and X; two S never conflict. Only the first
-    and last access of each transaction, resource and mode matter, so those are joined, not all.
+    and last access and the first and last write of each transaction and resource matter. They are
+    dealt to cells, one for each block of earlier and block of later transactions, and a cell marks
+    its pairs as bits: a pair is made once, however many resources tell it, and none is shuffled.
     """
-    ends = history.groupBy("xact", "resource", "mode").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
-    a = ends.select(F.col("xact").alias("before"), "resource", F.col("mode").alias("ma"), F.col("first").alias("fa"))
-    b = ends.select(F.col("xact").alias("after"), "resource", F.col("mode").alias("mb"), F.col("last").alias("lb"))
-    met = a.join(b, "resource").where("before <> after AND NOT (ma = 'S' AND mb = 'S') AND fa < lb")
-    return met.select("before", "after").distinct()
+    ship(history.sparkSession)
+    scratch = Scratch(history.sparkSession)
+    wrote = F.when(F.col("writes"), F.col("ts"))
+    ends = _accesses(history).groupBy("xact", "resource").agg(F.min(wrote).alias("w0"), F.min("ts").alias("t0"), F.max(wrote).alias("w1"), F.max("ts").alias("t1"))
+    ends = scratch.store(ends)
+    blocks = max(math.ceil(math.sqrt(history.sparkSession.sparkContext.defaultParallelism)), -(-ends.count() // CELL_ROWS))
+    own = F.pmod(F.xxhash64("xact"), F.lit(blocks)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    first = ends.select(F.explode(F.transform(every, lambda x: own * blocks + x)).alias("cell"), F.lit(False).alias("later"), "xact", "resource", F.col("w0").alias("written"), F.col("t0").alias("touched"))
+    last = ends.select(F.explode(F.transform(every, lambda x: x * blocks + own)).alias("cell"), F.lit(True).alias("later"), "xact", "resource", F.col("w1").alias("written"), F.col("t1").alias("touched"))
+    kind = ends.schema["xact"].dataType.simpleString()
+    return first.unionByName(last).groupBy("cell").applyInArrow(_cell_pairs, f"before {kind}, after {kind}")
 
 
 def _direct(history: DataFrame, scratch: Scratch) -> DataFrame:

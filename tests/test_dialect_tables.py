@@ -122,6 +122,20 @@ def test_schedules(spark):
     assert locks.acquire(1, "a", "X")
 
 
+@pytest.mark.parametrize("tile", [2, 8192])
+def test_precedence_makes_each_pair_once_and_shuffles_none(spark, monkeypatch, tile):
+    monkeypatch.setattr(N, "TILE", tile)
+    rng = random.Random(5)
+    h = [(rng.choice([*range(60), None]), rng.choice(["a", "b", "c", "d", None]), rng.choice("SSSXU") if rng.random() < 0.95 else None, rng.choice([*range(70), None])) for _ in range(260)]
+    df = spark.createDataFrame(h, "xact long, resource string, mode string, ts int")
+    df.createOrReplaceTempView("h")
+    want = rows(spark.sql("SELECT DISTINCT a.xact, b.xact FROM h a JOIN h b ON a.resource = b.resource AND a.xact <> b.xact AND a.ts < b.ts AND NOT (a.mode = 'S' AND b.mode = 'S')"))
+    found = N.precedence(df)
+    assert sorted(rows(found)) == sorted(want) and len(want) > 500
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert N.precedence(df.limit(0)).count() == 0
+
+
 def test_serializable_of_any_history(spark, monkeypatch):
     rng = random.Random(11)
     kinds = "xact long, resource string, mode string, ts int"
