@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumenquery.operators import recommend as C, sequences as Q
 from lumenquery.plans.registry import query
-from lumenquery.session import cut, epoch_seconds, table
+from lumenquery.session import Scratch, epoch_seconds, table
 
 _BOUGHT = "bought AS (SELECT DISTINCT o_custkey AS u, l_partkey AS i FROM orders JOIN lineitem ON o_orderkey = l_orderkey), cnt AS (SELECT i, count(*) AS buyers FROM bought GROUP BY i)"
 _PAIRS = f"""{_BOUGHT}, few AS (SELECT u FROM bought GROUP BY u HAVING count(*) <= 50), kept AS (SELECT * FROM bought WHERE u IN (SELECT u FROM few)),
@@ -171,10 +171,10 @@ def phrase_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     turns = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("phrase"), "text")
-    asked = cut(X.postings(turns, "phrase", "text").withColumnRenamed("id", "query"))
-    hits = X.bm25_postings(cut(X.postings(docs, "doc_id", "text")), asked, docs.count(), 5, few=False)
-    words = asked.groupBy("query").agg(F.sum("tf").cast("int").alias("words"))
-    rows = hits.join(words, "query").where("words >= 3")
+    asked = Scratch(spark).store(X.postings(turns, "phrase", "text").withColumnRenamed("id", "query"))
+    words = asked.groupBy("query").agg(F.sum("tf").cast("int").alias("words")).where("words >= 3")
+    hits = X.bm25_blocks(docs, "doc_id", "text", asked.join(words.select("query"), "query", "left_semi"), 5)
+    rows = hits.join(words, "query")
     part = F.split("query", ":")
     at = part[1].cast("double") * 5
     return Q.phrase_votes(rows.select(part[0].alias("query"), F.col("query").alias("phrase"), "words", F.col("id").alias("track"), at.alias("q_start"), (at + 4).alias("q_end"), at.alias("o_start"), "score"))

@@ -115,3 +115,29 @@ def test_surface_forms(spark):
     forms = {r.stem: r.forms for r in X.surface_forms(X.surfaces(df, "id", "t", "english")).collect()}
     assert forms == {"licens": ["licenses", "license", "licensed"], "hous": ["house", "houses"]}
     assert {r.stem: r.surface for r in X.first_surfaces(df, "id", "t", 1, "english").collect()} == {"licens": "licensed", "hous": "house"}
+
+
+def test_bm25_of_many_queries_in_blocks(spark, monkeypatch):
+    rng = random.Random(2)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    draw = lambda n: " ".join(words[min(299, int(rng.expovariate(0.02)))] for _ in range(n))
+    docs = [(i, draw(rng.randrange(30))) for i in range(900)]
+    docs += [(i + 1000, docs[i][1]) for i in range(60)] + [(7, "wab wzz again"), (None, draw(20)), (5000, None), (5001, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    asked = X.postings(spark.createDataFrame([(f"q{i}", draw(rng.randrange(1, 12))) for i in range(150)] + [("none", "absent")], "phrase string, text string"), "phrase", "text").withColumnRenamed("id", "query")
+    want = sorted((r["query"], r.place, r.id, round(r.score, 9)) for r in X.bm25_postings(X.postings(df, "doc_id", "text"), asked, len(docs), 5).collect())
+    for blocks, chunks in ((8192, 4096), (200, 40)):
+        monkeypatch.setattr(X, "BLOCK_DOCS", blocks)
+        monkeypatch.setattr(X, "CHUNK_QUERIES", chunks)
+        found = X.bm25_blocks(df, "doc_id", "text", asked, 5)
+        got = sorted((r["query"], r.place, r.id, round(r.score, 9)) for r in found.collect())
+        by_score = lambda rows: sorted((q, p, s) for q, p, _, s in rows)
+        assert by_score(got) == by_score(want) and len(got) > 500
+        # equal documents have equal scores to the last bit, so ties go to the smaller id in any block
+        assert {i for _, _, i, _ in got} <= {i for i, _ in docs if i is not None}
+        first = {(q, s): [] for q, _, _, s in got}
+        for q, _, i, s in sorted(got):
+            first[q, s].append(i)
+        assert all(ids == sorted(ids) for ids in first.values())
+        assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert X.bm25_blocks(df.limit(0), "doc_id", "text", asked, 5).count() == 0
