@@ -173,6 +173,21 @@ def test_cut_copies_at_the_similarity_and_above(spark):
     assert found_components(spark, texts) == want
 
 
+def test_order_of_shingles_decides_nothing(spark, monkeypatch):
+    rng, texts = random.Random(4), []
+    form = [f"form{i}" for i in range(60)]
+    for n in range(30):
+        words = [*form, *(f"{rng.choice('abcd')}{rng.randrange(900)}" for _ in range(44))]
+        keep = (84, 89, 94)[n % 3]
+        texts += [" ".join(words), " ".join(words[:keep] if n % 2 else words[-keep:])]
+    want = brute_components(texts)
+    monkeypatch.setattr(simhash, "_near", lambda pairs, marks: pairs.limit(0).select("a", "b"))  # all is left to the complete pass
+    every, n = np.unique(np.concatenate([np.unique(simhash.shingle_hashes(t, 5)) for t in texts]), return_counts=True)
+    for order in ((every, n), (every[:0], n[:0]), (every, n.max() - n + 1)):
+        monkeypatch.setattr(simhash, "_common_shingles", lambda *_, found=order: found)
+        assert found_components(spark, texts) == want
+
+
 def test_classes_equal_brute_force(spark):
     """Components over whole documents: copies, edited copies in chains, short and empty texts."""
     rng = random.Random(12)
