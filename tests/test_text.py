@@ -126,7 +126,7 @@ def test_bm25_of_many_queries_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     asked = X.postings(spark.createDataFrame([(f"q{i}", draw(rng.randrange(1, 12))) for i in range(150)] + [("none", "absent")], "phrase string, text string"), "phrase", "text").withColumnRenamed("id", "query")
     want = sorted((r["query"], r.place, r.id, round(r.score, 9)) for r in X.bm25_postings(X.postings(df, "doc_id", "text"), asked, len(docs), 5).collect())
-    for blocks, chunks in ((8192, 4096), (200, 40)):
+    for blocks, chunks in ((4096, 2048), (200, 40)):
         monkeypatch.setattr(X, "BLOCK_DOCS", blocks)
         monkeypatch.setattr(X, "CHUNK_QUERIES", chunks)
         found = X.bm25_blocks(df, "doc_id", "text", asked, 5)
