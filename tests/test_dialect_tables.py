@@ -195,6 +195,16 @@ def test_utf8_clip_query_equals_its_sql_on_odd_texts(spark, tmp_path):
     assert sorted(got, key=str) == sorted(want, key=str) and len(want) == 6
 
 
+def test_utf8_clip_query_has_a_head_of_every_document(spark, tmp_path):
+    texts = dict(enumerate(["日本語" * 20, "é" * 40, "Çéé " * 9, "🙂" * 7 + "abc", "a" + "é" * 40, "日本語" * 3, "plain text of more than thirty bytes", "", None]))
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(path)
+    want = {i: None if t is None else t.encode()[:30].decode(errors="ignore") for i, t in texts.items()}
+    got = rows(registry.QUERIES["utf8_clip"](spark, str(tmp_path)).select("doc_id", "head"))
+    sql = duckdb.sql(registry.ORACLES["utf8_clip"].replace("FROM documents", f"FROM read_parquet('{path}/*.parquet')")).fetchall()
+    assert dict(got) == dict(sql) == want and len(got) == len(sql) == len(texts)
+
+
 def test_streams(spark, tmp_path):
     df = spark.createDataFrame([("2024-01-01 00:00:00", "a", 1.0), ("2024-01-01 00:20:00", "a", 2.0), ("2024-01-01 03:00:00", "b", 3.0)], "ts string, k string, value double").withColumn("ts", F.col("ts").cast("timestamp"))
     df.write.parquet(str(tmp_path / "in"))
